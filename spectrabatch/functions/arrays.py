@@ -79,10 +79,9 @@ def replicate_ends(spectrum: Column, margin: int) -> Column:
     )
 
 
-def stencil(spectrum: Column, taps: dict[int, float], points: int) -> Column:
-    """``out[i] = sum(taps[j] * x[clamp(i + j)])`` as shifted copies added up."""
+def shifted_sum(padded: Column, taps: dict[int, float], points: int) -> Column:
+    """``out[i] = sum(taps[j] * padded[i + margin + j])`` as shifted slices added up."""
     margin = max(abs(offset) for offset in taps)
-    padded = replicate_ends(spectrum, margin)
     total = None
     for offset in sorted(taps):
         total = _add_shifted(total, F.slice(padded, offset + margin + 1, points), taps[offset])

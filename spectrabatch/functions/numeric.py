@@ -21,8 +21,13 @@ def rounded(value: Column, digits: int = 6) -> Column:
 
 
 def rounded_half_even(value: Column, digits: int = 2) -> Column:
-    """Banker's rounding, as the scoring service reports its predictions."""
-    return F.bround(value, digits) + F.lit(0.0)
+    """Scale, round half to even, scale back: how the scoring service rounds its doubles.
+
+    ``bround`` works on the decimal digits instead and differs for values like 8.155,
+    which as a double lies below the tie.
+    """
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale + F.lit(0.0)
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -87,13 +87,14 @@ def metrics_by_split(df: DataFrame, actual: str, predicted: str, split: str, fol
         (F.sum("sae") / F.sum("n")).alias("mae"),
         fold_r2.alias("cv"),
     )
+    none = F.lit(None).cast("double")
     rows = by_split.select(
         split,
         F.inline(
             F.array(
                 F.struct(F.lit("r2").alias("metric"), F.col("r2").alias("value"), F.col("cv").alias("cv")),
-                F.struct(F.lit("rmse").alias("metric"), F.col("rmse"), F.lit(None).cast("double")),
-                F.struct(F.lit("mae").alias("metric"), F.col("mae"), F.lit(None).cast("double")),
+                F.struct(F.lit("rmse").alias("metric"), F.col("rmse").alias("value"), none.alias("cv")),
+                F.struct(F.lit("mae").alias("metric"), F.col("mae").alias("value"), none.alias("cv")),
             )
         ),
     )

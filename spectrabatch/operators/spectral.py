@@ -48,7 +48,7 @@ def norris_williams(df: DataFrame, spectrum: str, points: int, segment: int = 3,
 def _stencils(df: DataFrame, spectrum: str, points: int, sequence: list[dict[int, float]]) -> DataFrame:
     if points * sum(len(taps) for taps in sequence) < ARROW_FROM:
         for taps in sequence:
-            df = df.withColumn(spectrum, arrays.stencil(F.col(spectrum), taps, points))
+            df = _stencil(df, spectrum, taps, points)
         return df
 
     def smooth(block: np.ndarray) -> np.ndarray:
@@ -59,21 +59,32 @@ def _stencils(df: DataFrame, spectrum: str, points: int, sequence: list[dict[int
     return map_spectra(df, spectrum, points, smooth)
 
 
+def _stencil(df: DataFrame, spectrum: str, taps: dict[int, float], points: int) -> DataFrame:
+    """Beyond the ends the end value is repeated. The padded copy is a column of its own:
+    it is used once per tap, and array functions would build it anew each time."""
+    margin = max(abs(offset) for offset in taps)
+    padded = df.withColumn("_padded", arrays.replicate_ends(F.col(spectrum), margin))
+    return padded.withColumn(spectrum, arrays.shifted_sum(F.col("_padded"), taps, points)).drop("_padded")
+
+
 def preprocess(
-    df: DataFrame, spectrum: str, axis: Sequence[float], steps: SpectralSteps = SpectralSteps(), plan: str = "auto"
+    df: DataFrame, spectrum: str, axis: Sequence[float], steps: SpectralSteps = SpectralSteps(), plan: str = "arrow"
 ) -> tuple[DataFrame, list[float]]:
-    """Range cut, baseline, smoothing and derivative: the chain before scaling."""
+    """Range cut, baseline, smoothing and derivative: the chain before scaling.
+
+    ``plan="array"`` stays inside the JVM. It is the slower one for wide
+    spectra, and a later filter on the result is pushed through all its levels.
+    """
     start, stop = arrays.axis_range(axis, steps.low, steps.high)
-    points = stop - start
-    work = points * (2 + sum(len(taps) for taps in steps.tap_sequence()))
     cleaned = df.withColumn(spectrum, arrays.fill_missing(F.col(spectrum)))
-    if plan == "arrow" or (plan == "auto" and work >= ARROW_FROM):
+    if plan == "arrow":
         out = map_spectra(cleaned, spectrum, len(axis), lambda block: stencils.apply_steps(block, start, stop, steps))
         return out, list(axis[start:stop])
+    points = stop - start
     out, cut_axis = range_cut(cleaned, spectrum, axis, steps.low, steps.high)
     out = linear_baseline(out, spectrum, points)
     for taps in steps.tap_sequence():
-        out = out.withColumn(spectrum, arrays.stencil(F.col(spectrum), taps, points))
+        out = _stencil(out, spectrum, taps, points)
     return out, cut_axis
 
 
@@ -107,6 +118,16 @@ def _map_list(column: pa.ListArray, points: int, function) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()), mask=mask)
 
 
+def explode_points(df: DataFrame, keys: Sequence[str], spectrum: str, value: str) -> DataFrame:
+    """One row per point with its 0-based ``_pos``; NULL and empty spectra give none.
+
+    The inner generator would make the optimizer push ``size(spectrum) > 0``
+    through the whole chain of array steps, copying it at every level.
+    """
+    rows = df.select(*keys, F.posexplode_outer(arrays.as_double(F.col(spectrum))).alias("_pos", value))
+    return rows.where(F.col("_pos").isNotNull())
+
+
 def axis_statistics(df: DataFrame, spectrum: str) -> DataFrame:
     """One row per point: mean and population deviation over all samples.
 
@@ -114,8 +135,8 @@ def axis_statistics(df: DataFrame, spectrum: str) -> DataFrame:
     task, so only ``tasks x points`` partial rows are shuffled.
     """
     return (
-        df.select(F.posexplode(arrays.as_double(F.col(spectrum))).alias("pos", "value"))
-        .groupBy("pos")
+        explode_points(df, [], spectrum, "value")
+        .groupBy(F.col("_pos").alias("pos"))
         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
     )
 
@@ -167,7 +188,7 @@ def network_inputs(df: DataFrame, process: str, spectrum: str, length: int) -> D
 
 def to_long(df: DataFrame, keys: Sequence[str], spectrum: str, axis: Sequence[float], value: str = "intensity") -> DataFrame:
     """One row per sample and point: keys, ``wl`` and the value."""
-    exploded = df.select(*keys, F.posexplode(spectrum).alias("_pos", value))
+    exploded = explode_points(df, keys, spectrum, value)
     return exploded.select(*keys, F.get(arrays.literal(axis), F.col("_pos")).alias("wl"), value)
 
 
@@ -188,7 +209,7 @@ def pack_spectrum(df: DataFrame, spectral: Sequence[str], out: str = "spectrum")
 
 def batch_mean_spectrum(df: DataFrame, batch: str, spectrum: str, axis: Sequence[float]) -> DataFrame:
     """Mean spectrum of every batch; partial sums leave ``batches x points`` rows per task."""
-    long = df.select(batch, F.posexplode(arrays.as_double(F.col(spectrum))).alias("_pos", "_v"))
+    long = explode_points(df, [batch], spectrum, "_v")
     means = long.groupBy(batch, "_pos").agg(F.avg("_v").alias("mean_intensity"))
     return means.select(batch, F.get(arrays.literal(axis), F.col("_pos")).alias("wl"), "mean_intensity")
 

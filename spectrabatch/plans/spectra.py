@@ -20,13 +20,15 @@ SQL_CUT = f"(SELECT vec_id, label, s[6:52] AS s FROM {SQL_SPECTRA})"
 def sql_stencil(source: str, taps: dict[int, str]) -> str:
     """Weighted neighbours with the end values repeated."""
     terms = " + ".join(f"({tap}) * s[greatest(1, least(len(s), i + ({offset})))]" for offset, tap in taps.items())
-    return f"(SELECT vec_id, label, [{terms} FOR i IN range(1, len(s) + 1)] AS s FROM {source})"
+    return f"""(WITH src AS MATERIALIZED (SELECT * FROM {source})
+                SELECT vec_id, label, [{terms} FOR i IN range(1, len(s) + 1)] AS s FROM src)"""
 
 
 def sql_baseline(source: str) -> str:
-    return f"""(SELECT vec_id, label,
-                 [s[i] - (s[1] + (s[len(s)] - s[1]) / (len(s) - 1) * (i - 1)) FOR i IN range(1, len(s) + 1)] AS s
-               FROM {source})"""
+    return f"""(WITH src AS MATERIALIZED (SELECT * FROM {source})
+                SELECT vec_id, label,
+                  [s[i] - (s[1] + (s[len(s)] - s[1]) / (len(s) - 1) * (i - 1)) FOR i IN range(1, len(s) + 1)] AS s
+                FROM src)"""
 
 
 # Five-point quadratic smoothing, three-point mean, slope over two points either side.
@@ -39,7 +41,11 @@ def sql_norris(source: str) -> str:
     return sql_stencil(sql_stencil(source, SQL_SEGMENT), SQL_GAP)
 
 
-SQL_CHAIN = sql_norris(sql_stencil(sql_baseline(SQL_CUT), SQL_SAVGOL))
+def sql_chain(cut: str) -> str:
+    return sql_norris(sql_stencil(sql_baseline(cut), SQL_SAVGOL))
+
+
+SQL_CHAIN = sql_chain(SQL_CUT)
 
 
 def sql_scaled(source: str, points: int) -> str:
@@ -120,8 +126,8 @@ def two_block_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrays.position_slice(F.col("spectrum"), 4, POINTS).alias("spectral"),
     )
     joined = spectral.scale_blocks(blocks, ["process", "spectral"], "features")
-    rows = joined.select("vec_id", F.posexplode("features").alias("pos", "scaled"))
-    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("scaled")).alias("scaled"))
+    rows = spectral.explode_points(joined, ["vec_id"], "features", "scaled")
+    return rows.select("vec_id", F.col("_pos").cast("long").alias("pos"), rounded(F.col("scaled")).alias("scaled"))
 
 
 @query(
