@@ -67,24 +67,34 @@ def bin_edges(low: float, high: float, bins: int) -> list[float]:
     return [low + i * width for i in range(bins)] + [high]
 
 
-def half_open_bin(value: Column, low: float | None, high: float | None, bins: int) -> Column:
-    """1-based bin ``[edge, next edge)``; the maximum therefore gets ``bins + 1``.
+def closed_bin(value: Column, low: float | None, high: float | None, bins: int) -> Column:
+    """1-based equal-width bin ``[edge, next edge)``; the last one includes the maximum.
 
-    Counting the edges that are not above the value is exact, which dividing by
-    the width is not. A constant column has a single bin.
+    The quotient only guesses the bin, since a division may round across an
+    edge; comparing with the two edges around the guess settles it. The cost
+    does not grow with the number of bins. A constant column has a single bin.
     """
     if low is None or high is None or not high > low:
         return F.when(value.isNotNull(), F.lit(1)).cast("long")
-    number = F.lit(1)
-    for edge in bin_edges(low, high, bins)[1:]:
-        number = number + (value >= F.lit(float(edge))).cast("int")
-    return number.cast("long")
+    start, width = F.lit(float(low)), F.lit((high - low) / bins)
+    guess = F.floor((value - start) / width)
+    exact = (
+        F.when(value < start + guess * width, guess - 1)
+        .when(value >= start + (guess + 1) * width, guess + 1)
+        .otherwise(guess)
+    )
+    inside = F.least(F.greatest(exact, F.lit(0)), F.lit(bins - 1)) + 1
+    return F.when(value.isNotNull(), inside).cast("long")
 
 
-def closed_bin(value: Column, low: float | None, high: float | None, bins: int) -> Column:
-    """Like :func:`half_open_bin`, but the last bin includes the maximum."""
-    number = half_open_bin(value, low, high, bins)
-    return F.when(number.isNotNull(), F.least(number, F.lit(bins).cast("long")))
+def half_open_bin(value: Column, low: float | None, high: float | None, bins: int) -> Column:
+    """Like :func:`closed_bin`, but the maximum falls outside: ``bins + 1`` there, 0 below the range."""
+    if low is None or high is None or not high > low:
+        return closed_bin(value, low, high, bins)
+    outside = F.when(value >= F.lit(float(high)), F.lit(bins + 1).cast("long")).when(
+        value < F.lit(float(low)), F.lit(0).cast("long")
+    )
+    return outside.otherwise(closed_bin(value, low, high, bins))
 
 
 def confidence_band(prediction: Column) -> Column:

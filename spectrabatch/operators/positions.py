@@ -9,7 +9,9 @@ stay together, so a split never puts copies on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,11 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import order_hash
 
-HASH_DIGITS = 4  # 65,536 cells: the size of the only table ranked in one task
-KEY_CELLS = 1024
+DIGITS = 3  # hexadecimal digits per round: 4,096 cells
+MAX_DIGITS = 28  # beyond these, rows with equal digits are copies of one key
+RANK_ROWS = 1_000_000  # rows of one cell that a single task may rank
+CELL_ROWS = 1_000_000
+MIN_CELLS, MAX_CELLS = 16, 8192
 
 
 def _running(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -34,25 +39,55 @@ def _running(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def hash_cuts(df: DataFrame, key: str, seed: int, positions: Sequence[Column]) -> list[tuple | None]:
+def hash_cuts(df: DataFrame, key: str, seed: int, places: Callable[[int], Sequence[int]]) -> list[tuple | None]:
     """The (hash, key) at each 1-based position of the hash order, ``None`` for position 0.
 
-    ``positions`` may use ``_n``, the number of rows. One row per position
-    comes to the driver; as literals the cuts make every later pass a plain
-    filter on the row itself.
+    ``places`` turns the number of rows into positions. Each round counts rows
+    per next ``DIGITS`` digits, within the cells that hold a position only,
+    until those cells are small. The driver sees at most 4,096 counts per cut
+    and round; as literals the cuts make every later pass a plain filter.
     """
     ranked = df.select(order_hash(key, seed).alias("_h"), F.col(key).alias("_key"))
-    ranked = ranked.withColumn("_cell", F.substring("_h", 1, HASH_DIGITS))
-    cells = _running(ranked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size")), [])
-    places = F.posexplode(F.array(*[p.cast("long") for p in positions])).alias("_cut", "_pos")
-    wanted = cells.select("*", places)
-    wanted = wanted.where((F.col("_pos") > F.col("_before")) & (F.col("_pos") <= F.col("_before") + F.col("_size")))
-    # One row per wanted position: safe to broadcast whatever the size of the data.
-    hit = ranked.join(F.broadcast(wanted.select("_cell", "_cut", "_pos", "_before")), "_cell")
-    in_cell = F.row_number().over(W.partitionBy("_cell", "_cut").orderBy("_h", "_key"))
-    hit = hit.withColumn("_rank", in_cell).where(F.col("_rank") == F.col("_pos") - F.col("_before"))
-    found = {row["_cut"]: (row["_h"], row["_key"]) for row in hit.select("_cut", "_h", "_key").collect()}
-    return [found.get(i) for i in range(len(positions))]
+    digits, cells, left = 0, [], []
+    while True:
+        held = ranked.where(F.substring("_h", 1, digits).isin(cells)) if digits else ranked
+        digits += DIGITS
+        counts = held.groupBy(F.substring("_h", 1, digits).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = sorted((row["c"], row["n"]) for row in counts)
+        if not left:
+            left = [int(p) for p in places(sum(n for _, n in sizes))]
+            cells = [""] * len(left)
+        for cut, (prefix, place) in enumerate(zip(cells, left)):
+            for cell, n in sizes:
+                if cell.startswith(prefix) and place > 0:
+                    if place <= n:
+                        cells[cut], left[cut] = cell, place
+                        break
+                    place -= n
+        hit = {cell for cell, place in zip(cells, left) if place > 0}
+        if max((n for cell, n in sizes if cell in hit), default=0) <= RANK_ROWS or digits > MAX_DIGITS:
+            break
+    if not hit:
+        return [None] * len(left)
+    # Copies of a key collapse before they are ranked.
+    cell = F.substring("_h", 1, digits).alias("_cell")
+    keys = ranked.where(cell.isin(list(hit))).groupBy(cell, "_h", "_key").agg(F.count(F.lit(1)).alias("_size"))
+    upto = F.sum("_size").over(W.partitionBy("_cell").orderBy("_h", "_key"))
+    keys = keys.withColumn("_upto", upto)
+    found: list[tuple | None] = [None] * len(left)
+    at = reduce(
+        operator.or_,
+        [
+            (F.col("_cell") == c) & (F.col("_upto") >= p) & (F.col("_upto") - F.col("_size") < p)
+            for c, p in zip(cells, left)
+            if p > 0
+        ],
+    )
+    for row in keys.where(at).collect():
+        for cut, (c, p) in enumerate(zip(cells, left)):
+            if c == row["_cell"] and row["_upto"] - row["_size"] < p <= row["_upto"]:
+                found[cut] = (row["_h"], row["_key"])
+    return found
 
 
 def _up_to(key: str, seed: int, cut: tuple | None) -> Column:
@@ -63,31 +98,34 @@ def _up_to(key: str, seed: int, cut: tuple | None) -> Column:
     return (here < cut[0]) | ((here == cut[0]) & (F.col(key) <= cut[1]))
 
 
-def first_in_hash_order(df: DataFrame, key: str, seed: int, size: Column) -> Column:
-    """True for exactly the first ``size`` rows of the hash order (``size`` may use ``_n``).
+def first_in_hash_order(df: DataFrame, key: str, seed: int, size: Callable[[int], int]) -> Column:
+    """True for exactly the first ``size(n)`` of ``n`` rows in hash order.
 
     Rows are compared with one cut value, so the data itself is not shuffled.
     """
-    return _up_to(key, seed, hash_cuts(df, key, seed, [size])[0])
+    return _up_to(key, seed, hash_cuts(df, key, seed, lambda n: [size(n)])[0])
 
 
 def contiguous_fold(df: DataFrame, key: str, seed: int, folds: int) -> Column:
     """Fold 1..folds of each row; folds are contiguous in hash order and larger ones come first."""
-    n = F.col("_n")
-    small, extra = F.floor(n / F.lit(folds)), F.pmod(n, F.lit(folds))
-    ends = [small * f + F.least(F.lit(f), extra) for f in range(1, folds)]
+
+    def ends(n: int) -> list[int]:
+        small, extra = divmod(n, folds)
+        return [small * f + min(f, extra) for f in range(1, folds)]
+
     fold = F.lit(folds)
     for f, cut in reversed(list(enumerate(hash_cuts(df, key, seed, ends), start=1))):
         fold = F.when(_up_to(key, seed, cut), f).otherwise(fold)
     return fold.cast("long")
 
 
-def key_bounds(df: DataFrame, key: str, cells: int = KEY_CELLS) -> list:
-    """Approximate quantiles of a numeric key: at most ``cells - 1`` ascending values.
+def key_bounds(df: DataFrame, key: str) -> list:
+    """Approximate quantiles of a numeric key that cut the rows into cells of about ``CELL_ROWS``.
 
     They are fetched once and enter the plan as literals, so every pass over
     the data, also one repeated after a lost executor, cuts the key alike.
     """
+    cells = min(max(df.count() // CELL_ROWS, MIN_CELLS), MAX_CELLS)
     shares = [i / cells for i in range(1, cells)]
     found = df.agg(F.percentile_approx(key, shares, 10 * cells).alias("b")).first()["b"]
     return sorted(set(found or []))
@@ -110,23 +148,23 @@ def key_cell(key: Column, bounds: Sequence) -> Column:
     return F.aggregate(F.lit(steps[::-1]), F.lit(0), advance)
 
 
-def with_position(df: DataFrame, key: str, name: str = "position", cells: int = KEY_CELLS) -> DataFrame:
+def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """1-based position of every row in the order of a unique numeric key."""
-    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key, cells)))
+    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key)))
     starts = _running(celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size")), []).select("_cell", "_before")
     rank = F.row_number().over(W.partitionBy("_cell").orderBy(key))
     joined = celled.join(starts, "_cell")
     return joined.withColumn(name, F.col("_before") + rank).drop("_cell", "_before")
 
 
-def rows_at_positions(df: DataFrame, group: str, key: str, positions: Column, cells: int = KEY_CELLS) -> DataFrame:
+def rows_at_positions(df: DataFrame, group: str, key: str, positions: Column) -> DataFrame:
     """Rows that stand at the wanted 1-based positions of their group in key order.
 
     ``positions`` is an array column that may use ``_n``, the size of the
     group. A group of any size is split into cells, so no task ranks it whole.
     Adds ``_pos``.
     """
-    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key, cells)))
+    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key)))
     sizes = _running(celled.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_size")), [group])
     wanted = sizes.select(group, "_cell", "_before", "_size", F.explode(positions).alias("_want"))
     wanted = wanted.where((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_size")))

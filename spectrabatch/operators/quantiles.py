@@ -38,53 +38,45 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     counted = df.agg(F.lit(0).alias("n"), *[F.count_if(F.col(columns[p[0]]) < low[p]).alias(name(p)) for p in pairs])
     below = counted.first()
 
-    inside = {p: (F.col(columns[p[0]]) >= low[p]) & (F.col(columns[p[0]]) <= high[p]) for p in pairs}
-    tags = [
-        F.when(
-            inside[i, q],
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(q).alias("q"),
-                F.lit(below[name((i, q))]).cast("long").alias("start"),
-                F.lit(shares[q] * (brackets[f"b{i}"]["n"] - 1)).alias("place"),
-                F.col(columns[i]).cast("double").alias("v"),
-            ),
-        )
-        for i, q in pairs
-    ]
-    if not tags:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "variable string, share double, quantile double")
-    touched = df.where(reduce(operator.or_, inside.values()))
-    values = touched.select(F.inline(F.array_compact(F.array(*tags))))
-    sizes = values.groupBy("i", "q", "start", "place", "v").agg(F.count(F.lit(1)).alias("size"))
-    upto = F.col("start") + F.sum("size").over(W.partitionBy("i", "q").orderBy("v"))
-    located = sizes.withColumn("upto", upto)
+    inside = [(F.col(columns[i]) >= low[i, q]) & (F.col(columns[i]) <= high[i, q]) for i, q in pairs]
+    candidates = [F.when(test, F.col(columns[i]).cast("double")).alias(str(k)) for k, (test, (i, _)) in enumerate(zip(inside, pairs))]
+    touched = df.where(reduce(operator.or_, inside)).select(*candidates)
+    values = touched.unpivot([], [str(k) for k in range(len(pairs))], "k", "v").where(F.col("v").isNotNull())
+    sizes = values.groupBy(F.col("k").cast("int").alias("k"), "v").agg(F.count(F.lit(1)).alias("size"))
+
+    def known(numbers: list) -> Column:
+        return F.get(F.lit(numbers), F.col("k"))
+
+    start = known([int(below[name(p)]) for p in pairs])
+    place = known([float(shares[q] * (brackets[f"b{i}"]["n"] - 1)) for i, q in pairs])
+    upto = start + F.sum("size").over(W.partitionBy("k").orderBy("v"))
+    located = sizes.withColumns({"upto": upto, "place": place})
 
     def at(position: Column) -> Column:
         covers = (position + 1 > F.col("upto") - F.col("size")) & (position + 1 <= F.col("upto"))
         return F.max(F.when(covers, F.col("v")))
 
-    picked = located.groupBy("i", "q").agg(
+    picked = located.groupBy("k").agg(
         at(F.floor("place")).alias("left"), at(F.ceil("place")).alias("right"), F.max("place").alias("place")
     )
     value = F.col("left") + (F.col("right") - F.col("left")) * (F.col("place") - F.floor("place"))
     checked = F.coalesce(value, F.raise_error(F.lit("quantile lies outside its bracket")).cast("double"))
     return picked.select(
-        F.get(F.lit(list(columns)), F.col("i")).alias("variable"),
-        F.get(F.lit([float(s) for s in shares]), F.col("q")).alias("share"),
+        known([columns[i] for i, _ in pairs]).alias("variable"),
+        known([float(shares[q]) for _, q in pairs]).alias("share"),
         checked.alias("quantile"),
     )
 
 
 def _bracket(column: str, shares: Sequence[float]) -> Column:
-    n, low, high = F.count(column), F.min(column).cast("double"), F.max(column).cast("double")
-
-    def sketch(points: list[float]) -> Column:
-        return F.percentile_approx(F.col(column).cast("double"), points, ACCURACY)
-
-    lower, upper = [max(s - MARGIN, 0.0) for s in shares], [min(s + MARGIN, 1.0) for s in shares]
+    value, parts = F.col(column).cast("double"), len(shares)
+    n, low, high = F.count(column), F.min(value), F.max(value)
+    around = [max(s - MARGIN, 0.0) for s in shares] + [min(s + MARGIN, 1.0) for s in shares]
+    sketch = F.percentile_approx(value, around, ACCURACY)
     return F.struct(
         n.alias("n"),
-        F.when(n < SMALL, F.array_repeat(low, len(shares))).otherwise(sketch(lower)).alias("low"),
-        F.when(n < SMALL, F.array_repeat(high, len(shares))).otherwise(sketch(upper)).alias("high"),
+        F.when(n < SMALL, F.array_repeat(low, parts)).otherwise(F.slice(sketch, 1, parts)).alias("low"),
+        F.when(n < SMALL, F.array_repeat(high, parts)).otherwise(F.slice(sketch, parts + 1, parts)).alias("high"),
     )

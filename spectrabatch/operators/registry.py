@@ -76,15 +76,18 @@ def version_comparison(versions: DataFrame) -> DataFrame:
     return joined.withColumn("is_current", F.col("version_id") == F.col("current_version_id"))
 
 
-def json_metric(document: str, path: str, default: str = NOT_AVAILABLE) -> Column:
-    return F.coalesce(F.get_json_object(document, path), F.lit(default))
+def version_options(versions: DataFrame, r2_field: str = "r2_score", rmse_field: str = "rmse") -> DataFrame:
+    """Pick-list line of each version: number, date, metrics from JSON, status.
 
-
-def version_options(versions: DataFrame, r2_path: str = "$.r2_score", rmse_path: str = "$.rmse") -> DataFrame:
-    """Pick-list line of each version: number, date, metrics from JSON, status."""
-    r2, rmse = json_metric("performance_metrics", r2_path), json_metric("performance_metrics", rmse_path)
+    The document is parsed once; absent or malformed metrics show as N/A.
+    """
+    metrics = F.from_json("performance_metrics", f"`{r2_field}` string, `{rmse_field}` string")
+    shown = [F.coalesce(metrics[field], F.lit(NOT_AVAILABLE)) for field in (r2_field, rmse_field)]
     day = F.substring("created_date", 1, 10)
-    line = F.format_string("v%s (%s) - R²: %s, RMSE: %s - %s", "version_number", day, r2, rmse, "status")
+    line = F.concat(
+        F.lit("v"), "version_number", F.lit(" ("), day, F.lit(") - R²: "), shown[0], F.lit(", RMSE: "), shown[1],
+        F.lit(" - "), "status",
+    )
     return versions.select(
         "version_id",
         line.alias("option_text"),

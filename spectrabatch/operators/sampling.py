@@ -6,6 +6,7 @@ seed: the same rows on every run, after a lost executor, and in another engine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,7 @@ SALTS = 64
 
 def split_flag(df: DataFrame, key: str, test_share: float, seed: int = 42) -> Column:
     """True for the test rows: exactly ``ceil(n * test_share)`` of them."""
-    size = F.ceil(F.col("_n") * F.lit(float(test_share)))
-    return positions.first_in_hash_order(df, key, seed, size)
+    return positions.first_in_hash_order(df, key, seed, lambda n: math.ceil(n * test_share))
 
 
 def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -41,7 +41,7 @@ def random_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` random rows (all, if there are fewer)."""
     if n <= TOP_ROWS:
         return df.withColumn("_h", order_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-    return df.where(positions.first_in_hash_order(df, key, seed, F.least(F.lit(n), F.col("_n"))))
+    return df.where(positions.first_in_hash_order(df, key, seed, lambda rows: min(n, rows)))
 
 
 def first_per_group(df: DataFrame, group: str, order: Sequence[str], k: int, salt: Column | None = None) -> DataFrame:
@@ -101,21 +101,18 @@ def systematic_sample(df: DataFrame, key: str, column: str, bins: int = 10, k: i
     return _rows_of(df, _pick_systematic(df, key, column, bins, k, only), key, bins * k)
 
 
-def top_up(picked: DataFrame, pool: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """Keys of the picked rows, filled to ``size`` with random keys of the pool, or cut to it.
+def top_up(picked: DataFrame, pool: DataFrame, key: str, size: int, most: int, seed: int = 42) -> DataFrame:
+    """Keys of the picked rows, filled to ``size`` with random keys of their pool, or cut to it.
 
-    ``size`` is a small constant of the test set: both parts are reduced to at
-    most ``size`` keys before they meet. Returns key, ``bin`` and ``origin``.
+    ``most`` bounds the number of picked keys. Marking them in the pool makes
+    the set one ordered head: picked rows by stratum first, then the others in
+    hash order. Returns key, ``bin`` and ``origin``.
     """
-    drawn = order_hash(key, seed)
-    picked = picked.select(key, "bin", drawn.alias("_h")).orderBy("bin", "_h", key).limit(size)
-    # At most `size` keys: bounded whatever the pool holds.
-    rest = pool.select(key, drawn.alias("_h")).join(F.broadcast(picked.select(key)), key, "left_anti")
-    rest = rest.orderBy("_h", key).limit(size)
-    both = picked.withColumn("origin", F.lit("picked")).unionByName(
-        rest.withColumns({"bin": F.lit(None).cast("long"), "origin": F.lit("filled")})
-    )
-    return both.orderBy(F.desc("origin"), "bin", "_h", key).limit(size).drop("_h")
+    marks = picked.select(key, "bin")
+    marked = pool.select(key).join(F.broadcast(marks) if most <= TOP_ROWS else marks, key, "left")
+    ordered = marked.withColumn("_h", order_hash(key, seed)).orderBy(F.col("bin").isNull(), "bin", "_h", key)
+    origin = F.when(F.col("bin").isNull(), "filled").otherwise("picked")
+    return ordered.limit(size).drop("_h").withColumn("origin", origin)
 
 
 def prefer_then_fill(df: DataFrame, key: str, preferred: Column, size: int, seed: int = 42) -> DataFrame:
@@ -136,21 +133,38 @@ OUTER_STRATA = (1, 2, 9, 10)
 
 
 def stratified_test_set(df: DataFrame, key: str, target: str, low: float, high: float, seed: int = 42) -> DataFrame:
-    """Test split, outlier filter (both ends kept), strata picks, top-up.
+    """Test split, outlier filter (both ends kept), strata picks, top-up."""
 
-    Key and target alone decide the set; the whole rows are read once, at the end.
-    """
-    narrow = df.select(key, target)
-    held_out = narrow.where(split_flag(narrow, key, TEST_SHARE, seed)).where(F.col(target).between(low, high))
-    picked = _draw(held_out, key, target, STRATA, PER_STRATUM, seed)
-    return _rows_of(df, top_up(picked, held_out, key, TEST_SET_SIZE, seed), key, TEST_SET_SIZE)
+    def pick(held_out: DataFrame) -> DataFrame:
+        return _draw(held_out, key, target, STRATA, PER_STRATUM, seed)
+
+    return _test_set(df, key, target, F.col(target).between(low, high), pick, seed)
 
 
 def performance_test_set(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
     """Test split without filter; outer strata systematically, inner ones at random, top-up."""
+
+    def pick(held_out: DataFrame) -> DataFrame:
+        outer = _pick_systematic(held_out, key, target, STRATA, PER_STRATUM, OUTER_STRATA)
+        inner = _draw(held_out, key, target, STRATA, PER_STRATUM, seed)
+        return outer.unionByName(inner.where(~F.col("bin").isin(list(OUTER_STRATA))))
+
+    return _test_set(df, key, target, F.lit(True), pick, seed)
+
+
+def _test_set(df: DataFrame, key: str, target: str, keep: Column, pick, seed: int) -> DataFrame:
+    """Key and target alone decide the set; the whole rows are read once, at the end.
+
+    The held-out part of these two columns is passed over several times and
+    therefore kept (on disk where memory is short). What comes to the driver
+    are the at most 100 chosen keys.
+    """
     narrow = df.select(key, target)
-    held_out = narrow.where(split_flag(narrow, key, TEST_SHARE, seed))
-    outer = _pick_systematic(held_out, key, target, STRATA, PER_STRATUM, OUTER_STRATA)
-    inner = _draw(held_out, key, target, STRATA, PER_STRATUM, seed).where(~F.col("bin").isin(list(OUTER_STRATA)))
-    chosen = top_up(outer.unionByName(inner), held_out, key, TEST_SET_SIZE, seed)
-    return _rows_of(df, chosen, key, TEST_SET_SIZE)
+    held_out = narrow.where(split_flag(narrow, key, TEST_SHARE, seed)).where(keep).persist()
+    try:
+        picked = pick(held_out)
+        chosen = top_up(picked, held_out, key, TEST_SET_SIZE, STRATA * PER_STRATUM, seed)
+        rows = chosen.collect()
+    finally:
+        held_out.unpersist()
+    return _rows_of(df, df.sparkSession.createDataFrame(rows, chosen.schema), key, TEST_SET_SIZE)

@@ -110,11 +110,13 @@ def histogram(df: DataFrame, column: str, bins: int, groups: Sequence[str] = ())
 
 def multi_histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """Histograms of several columns, each over its own range, in one pass."""
-    tagged = [
-        F.struct(F.lit(c).alias("variable"), numeric.closed_bin(F.col(c), low, high, bins).alias("bin"))
-        for c, (low, high) in zip(columns, value_ranges(df, columns))
-    ]
-    long = df.select(F.inline(F.array(*tagged))).where(F.col("bin").isNotNull())
+    binned = df.select(
+        *[
+            numeric.closed_bin(F.col(c), low, high, bins).alias(c)
+            for c, (low, high) in zip(columns, value_ranges(df, columns))
+        ]
+    )
+    long = binned.unpivot([], list(columns), "variable", "bin").where(F.col("bin").isNotNull())
     return long.groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 

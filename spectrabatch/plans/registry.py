@@ -116,7 +116,7 @@ def version_options(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("performance_metrics"),
         F.when(F.col("event_type") != "error", user).alias("approved_by"),
     )
-    return registry.version_options(listed, r2_path="$.k", rmse_path="$.rmse")
+    return registry.version_options(listed, r2_field="k", rmse_field="rmse")
 
 
 @query(
