@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
+
 # Quotes inside text are doubled, as other CSV writers do.
 CSV_OPTIONS = {"header": "true", "escape": '"'}
 
@@ -42,13 +44,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_packed(df: DataFrame, path: str, batch: str, partitions: int | None = None) -> None:
     """Parquet clustered by batch, so that a filter on the batch skips row groups.
 
-    Range partitioning with a second, random key splits a batch that holds much
-    of the table over several tasks; a directory per batch would not.
+    Range partitioning by batch and a spread key splits a batch, or a group of
+    copies, that holds much of the table over several tasks; a directory per
+    batch would not. The spread follows the input rows, so a repeated task
+    sends them to the same place.
     """
-    spread = F.xxhash64(*df.columns)
-    keys = [F.col(batch), spread]
-    arranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    arranged.sortWithinPartitions(batch).write.mode("overwrite").parquet(path)
+    spread = df.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+    keys = [quoted(batch), F.col("_spread")]
+    arranged = spread.repartitionByRange(partitions, *keys) if partitions else spread.repartitionByRange(*keys)
+    arranged.drop("_spread").sortWithinPartitions(quoted(batch)).write.mode("overwrite").parquet(path)
 
 
 def file_facts(df: DataFrame) -> DataFrame:
