@@ -17,6 +17,7 @@ IN_DEVELOPMENT = "In Development"
 HIDDEN_MODELS = "%Preprocessing%"
 NOT_AVAILABLE = "N/A"
 NOT_APPROVED = "Not Approved"
+SALTS = 16
 DISPLAY_CLASSES = {
     "APPROVED": "success",
     "VALIDATED": "info",
@@ -71,8 +72,16 @@ def latest_version(versions: DataFrame) -> DataFrame:
 
 
 def version_comparison(versions: DataFrame) -> DataFrame:
-    """Every version beside the current version of its model."""
-    joined = versions.join(latest_version(versions), "model_id")
+    """Every version beside the current version of its model.
+
+    The current versions come out of an aggregate on the join key, where the
+    adaptive split of skewed joins does not apply. Salting the join spreads a
+    model that holds much of all versions.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    current = latest_version(versions).select("*", salts)
+    salted = versions.withColumn("_salt", F.pmod(F.xxhash64("version_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(current, ["model_id", "_salt"]).drop("_salt")
     return joined.withColumn("is_current", F.col("version_id") == F.col("current_version_id"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import process_columns, quoted, spectral_columns
+from .positions import with_position
+
+SHORT_HEAD = 10_000
 
 
 class SchemaContractError(ValueError):
@@ -72,9 +75,17 @@ def overview(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """First rows by an explicit key; files have no order in Spark."""
-    return df.orderBy(key).limit(n)
+    return row_slice(df, key, 0, n)
 
 
 def row_slice(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
-    """Rows ``start`` (0-based, included) to ``stop`` (excluded) in key order."""
-    return df.orderBy(key).offset(start).limit(stop - start)
+    """Rows ``start`` (0-based, included) to ``stop`` (excluded) in key order.
+
+    A short head is kept in a heap per task. A deep slice would send ``stop``
+    rows to one task, so rows are numbered in parallel instead; that needs a
+    unique numeric key.
+    """
+    if stop <= SHORT_HEAD:
+        return df.orderBy(key).offset(start).limit(stop - start)
+    numbered = with_position(df, key, "_position")
+    return numbered.where(F.col("_position").between(start + 1, stop)).drop("_position")

@@ -367,3 +367,31 @@ def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         folded, "features", "target", "fold", [1, 2, 5, 10, 20], [(0.01, 0.5), (0.1, 0.5), (1.0, 0.5), (0.1, 1.0)]
     )
     return rounded_columns(regression.cv_summary(scores), "cv_mean", "cv_std", "cv_min", "cv_max")
+
+
+@query(
+    "cv_first_component",
+    f"""
+    WITH folded AS (SELECT vec_id, ntile(5) OVER (ORDER BY md5(vec_id || ':{SEED}'), vec_id) AS fold FROM embeddings),
+    f AS MATERIALIZED (
+        SELECT h AS held, vec_id, fold = h AS test, i, v, y
+        FROM (SELECT vec_id, label::DOUBLE AS y, unnest(range(1, {POINTS + 1})) AS i, unnest(s) AS v FROM {SQL_SPECTRA})
+        JOIN folded USING (vec_id), (SELECT unnest(range(1, 6)) AS h)),
+    m AS MATERIALIZED (
+        SELECT held, i, avg(v) AS mx, stddev_samp(v) AS sx, avg(y) AS my FROM f WHERE NOT test GROUP BY held, i),
+    w AS MATERIALIZED (
+        SELECT held, i, mx, sx, my, sum((v - mx) / sx * (y - my)) AS w
+        FROM f JOIN m USING (held, i) WHERE NOT test GROUP BY held, i, mx, sx, my),
+    t AS MATERIALIZED (
+        SELECT held, vec_id, test, y, my, sum((v - mx) / sx * w) AS t
+        FROM f JOIN w USING (held, i) GROUP BY held, vec_id, test, y, my),
+    q AS (SELECT held, sum(t * (y - my)) / sum(t * t) AS q FROM t WHERE NOT test GROUP BY held)
+    SELECT 'PLS(1)' AS model, held AS fold,
+           {sql_round('1 - sum((y - my - t * q) ^ 2) / (var_pop(y) * count(*))')} AS r2
+    FROM t JOIN q USING (held) WHERE test GROUP BY held""",
+)
+def cv_first_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of each fold for one latent variable, which SQL can follow."""
+    table = spectra(spark, sf_dir).select("vec_id", "spectrum", F.col("label").cast("double").alias("target"))
+    folded = sampling.assign_folds(table, "vec_id", 5, SEED)
+    return rounded_columns(regression.cross_validate(folded, "spectrum", "target", "fold", components=[1]), "r2")

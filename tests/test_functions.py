@@ -124,3 +124,11 @@ def test_cleaning(spark):
     assert sorted(r["id"] for r in valid.collect()) == [1, 2]
     reasons = {r["id"]: r["reason"] for r in rejected.collect()}
     assert reasons == {3: "Spectrum 3 has 1 values, expected 3", 4: "Spectrum 4 has 0 values, expected 3"}
+
+
+def test_row_slice_plans_agree(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id * 3 AS id").repartition(4)
+    short = [r[0] for r in schema.row_slice(df, "id", 10, 25).orderBy("id").collect()]
+    monkeypatch.setattr(schema, "SHORT_HEAD", 5)
+    deep = [r[0] for r in schema.row_slice(df, "id", 10, 25).orderBy("id").collect()]
+    assert short == deep == [3 * i for i in range(10, 25)]

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from spectrabatch.operators import evaluation, regression, scoring
+from spectrabatch.operators import evaluation, registry, regression, scoring
 from spectrabatch.sources import history, models, registry_store, tables
 from spectrabatch.streaming import scoring as stream
 
@@ -229,3 +229,40 @@ def test_spectra_stream_resumes_without_repeats(spark, tmp_path):
     assert got[1]["predicted_concentration"] == 13.0 and got[1]["confidence"] == "high"
     assert got[2]["reason"] == "Spectrum 2 has 1 values, expected 2" and got[2]["confidence"] is None
     assert got[3]["predicted_concentration"] == 90.0 and got[3]["confidence"] == "low"
+
+
+def test_version_comparison_of_a_hot_model(spark):
+    versions = spark.range(3000).selectExpr(
+        "id AS version_id", "IF(id % 3 = 0, 7, id % 50 + 100) AS model_id", "string(id % 11) AS created_date", "'x' AS status"
+    )
+    compared = registry.version_comparison(versions)
+    assert compared.count() == 3000
+    newest = {}
+    for r in versions.collect():
+        newest[r["model_id"]] = max(newest.get(r["model_id"], ("", -1)), (r["created_date"], r["version_id"]))
+    current = {r["model_id"]: r["version_id"] for r in compared.where("is_current").collect()}
+    assert current == {m: v for m, (_, v) in newest.items()}
+
+
+def test_audit_names_come_from_the_right_table(spark):
+    audit = spark.createDataFrame(
+        [(1, "models", 1), (2, "model_versions", 1), (3, "model_validations", 1), (4, "other", 1), (5, "models", None), (6, "models", 9)],
+        "audit_id long, table_name string, record_id long",
+    )
+    models_df = spark.createDataFrame([(1, "PLS"), (2, "Hybrid")], "model_id long, model_name string")
+    versions = spark.createDataFrame([(1, 2)], "version_id long, model_id long")
+    validations = spark.createDataFrame([(1, 1)], "validation_id long, version_id long")
+    got = {r["audit_id"]: r["model_name"] for r in registry.resolve_models(audit, models_df, versions, validations).collect()}
+    assert got == {1: "PLS", 2: "Hybrid", 3: "Hybrid", 4: "N/A", 5: "N/A", 6: "N/A"}
+
+
+def test_hidden_models_ignore_case(spark):
+    models_df = spark.createDataFrame([(1, "PLS"), (2, "preprocessing v2")], "model_id long, model_name string")
+    versions = spark.createDataFrame(
+        [(1, 1, "2024-01-01", "Validated"), (2, 2, "2024-01-02", "Validated"), (3, 1, "2024-01-03", "Draft")],
+        "version_id long, model_id long, created_date string, status string",
+    )
+    assert [r["version_id"] for r in registry.latest_validated(models_df, versions).collect()] == [1]
+    row = registry.inventory(models_df, versions).first()
+    assert (row["total_models"], row["validated_models"], row["total_validations"]) == (1, 1, 2)
+    assert registry.inventory(models_df.limit(0), versions).withColumn("s", registry.approved_share("total_versions", "validated_models")).first()["s"] == 0.0
