@@ -29,18 +29,22 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("version_id"),
         F.col("o_custkey").alias("model_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_date"),
+        F.to_date("o_orderdate").alias("created_date"),
         status.alias("status"),
     )
 
 
+def day_text(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 @query(
     "registry_latest",
     f"""SELECT model_name, version_id, created_date, status FROM {SQL_VERSIONS} JOIN {SQL_MODELS} USING (model_id)
         WHERE status = 'Validated' AND model_name NOT ILIKE '{HIDE}' ORDER BY created_date DESC, version_id""",
 )
 def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.latest_validated(models(spark, sf_dir), versions(spark, sf_dir), HIDE)
+    return day_text(registry.latest_validated(models(spark, sf_dir), versions(spark, sf_dir), HIDE), "created_date")
 
 
 @query(
@@ -53,7 +57,7 @@ def registry_latest_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     models(spark, sf_dir).createOrReplaceTempView("registry_models")
     versions(spark, sf_dir).createOrReplaceTempView("registry_versions")
     return spark.sql(
-        """SELECT m.model_name, v.version_id, v.created_date
+        """SELECT m.model_name, v.version_id, CAST(v.created_date AS STRING) AS created_date
            FROM registry_models m JOIN registry_versions v ON m.model_id = v.model_id
            WHERE v.status = 'Validated' ORDER BY v.created_date DESC"""
     )
@@ -73,6 +77,7 @@ def registry_latest_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def registry_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = registry.inventory(models(spark, sf_dir), versions(spark, sf_dir), HIDE)
+    counts = day_text(counts, "last_model_update", "last_validation")
     return counts.withColumn("approved_share", rounded(registry.approved_share("total_versions", "validated_models")))
 
 
@@ -84,7 +89,8 @@ def registry_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = registry.version_comparison(versions(spark, sf_dir))
-    return compared.select("version_id", "model_id", "created_date", "current_version_id", "is_current")
+    columns = ["version_id", "model_id", "created_date", "current_version_id", "is_current"]
+    return day_text(compared.select(*columns), "created_date")
 
 
 @query(
@@ -93,7 +99,7 @@ def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_date DESC, version_id DESC) = 1""",
 )
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.latest_version(versions(spark, sf_dir))
+    return day_text(registry.latest_version(versions(spark, sf_dir)), "current_date")
 
 
 @query(
