@@ -90,33 +90,41 @@ def hash_cuts(df: DataFrame, key: str, seed: int, places: Callable[[int], Sequen
     return found
 
 
-def _up_to(key: str, seed: int, cut: tuple | None) -> Column:
-    """True for rows that do not come after the cut."""
-    if cut is None:
-        return F.lit(False)
-    here = order_hash(key, seed)
-    return (here < cut[0]) | ((here == cut[0]) & (F.col(key) <= cut[1]))
-
-
 def first_in_hash_order(df: DataFrame, key: str, seed: int, size: Callable[[int], int]) -> Column:
     """True for exactly the first ``size(n)`` of ``n`` rows in hash order.
 
     Rows are compared with one cut value, so the data itself is not shuffled.
     """
-    return _up_to(key, seed, hash_cuts(df, key, seed, lambda n: [size(n)])[0])
+    cut = hash_cuts(df, key, seed, lambda n: [size(n)])[0]
+    if cut is None:
+        return F.lit(False)
+    # One struct comparison hashes each row once.
+    here = F.struct(order_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    return F.coalesce(here <= F.struct(F.lit(cut[0]).alias("h"), F.lit(cut[1]).alias("k")), F.lit(False))
 
 
-def contiguous_fold(df: DataFrame, key: str, seed: int, folds: int) -> Column:
-    """Fold 1..folds of each row; folds are contiguous in hash order and larger ones come first."""
+def with_fold(
+    df: DataFrame, key: str, seed: int, folds: int, name: str = "fold", among: Column | None = None
+) -> DataFrame:
+    """Adds fold 1..folds; folds are contiguous in hash order and larger ones come first.
+
+    With ``among`` only those rows are divided, the others get NULL.
+    """
 
     def ends(n: int) -> list[int]:
         small, extra = divmod(n, folds)
         return [small * f + min(f, extra) for f in range(1, folds)]
 
+    cuts = hash_cuts(df if among is None else df.where(among), key, seed, ends)
     fold = F.lit(folds)
-    for f, cut in reversed(list(enumerate(hash_cuts(df, key, seed, ends), start=1))):
-        fold = F.when(_up_to(key, seed, cut), f).otherwise(fold)
-    return fold.cast("long")
+    for f, cut in reversed(list(enumerate(cuts, start=1))):
+        if cut is not None:
+            h, k = F.lit(cut[0]), F.lit(cut[1])
+            fold = F.when((F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= k)), f).otherwise(fold)
+    if among is not None:
+        fold = F.when(among, fold)
+    # The hash is a column of its own, since it is compared with every cut.
+    return df.withColumn("_h", order_hash(key, seed)).withColumn(name, fold.cast("long")).drop("_h")
 
 
 def key_bounds(df: DataFrame, key: str) -> list:

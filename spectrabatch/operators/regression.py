@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
@@ -66,7 +67,7 @@ def cross_products(df: DataFrame, features: str, label: str, fold: str | None =
         arrays.as_double(F.col(features)).alias("x"),
         F.col(label).cast("double").alias("y"),
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    narrow = narrow.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    narrow = narrow.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
     partial = narrow.mapInArrow(_partial_products, "fold long, i long, products array<double>")
     summed = partial.groupBy("fold", "i").agg(Summarizer.sum(array_to_vector("products")).alias("v"))
@@ -98,10 +99,13 @@ def _partial_products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def products_by_fold(df: DataFrame, features: str, label: str, fold: str | None = None) -> dict[int, np.ndarray]:
     """The summed matrices on the driver: ``folds x (features + 2)^2`` numbers."""
-    found: dict[int, dict[int, list[float]]] = {}
-    for row in cross_products(df, features, label, fold).toLocalIterator():
-        found.setdefault(row["fold"], {})[row["i"]] = row["products"]
-    matrices = {f: np.array([rows[i] for i in range(len(rows))]) for f, rows in found.items()}
+    table = cross_products(df, features, label, fold).orderBy("fold", "i").toArrow()
+    matrices = {}
+    for f in table["fold"].unique().to_pylist():
+        rows = table.filter(pc.equal(table["fold"], f))["products"].combine_chunks()
+        matrices[f] = rows.flatten().to_numpy().reshape(len(rows), -1)
+    if not matrices:
+        raise ValueError("no rows to fit")
     if any(m.shape[0] - 2 > MAX_FEATURES for m in matrices.values()):
         raise ValueError(f"more than {MAX_FEATURES} features")
     return matrices

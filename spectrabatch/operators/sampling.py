@@ -34,7 +34,7 @@ def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int
 
 
 def assign_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", positions.contiguous_fold(df, key, seed, folds))
+    return positions.with_fold(df, key, seed, folds)
 
 
 def random_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

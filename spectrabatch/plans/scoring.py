@@ -157,12 +157,8 @@ SQL_SPLIT = f"""(SELECT *, CASE WHEN split = 'train' THEN ntile(5) OVER (PARTITI
 )
 def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training, test and cross-validation metrics side by side."""
-    table = predictions(spark, sf_dir)
-    is_test = sampling.split_flag(table, "event_id", 0.2, SEED)
-    fold = positions.contiguous_fold(table.where(~is_test), "event_id", SEED, 5)
-    parts = table.withColumns(
-        {"split": F.when(is_test, "test").otherwise("train"), "fold": F.when(~is_test, fold)}
-    )
+    parts = sampling.train_test_split(predictions(spark, sf_dir), "event_id", 0.2, SEED)
+    parts = positions.with_fold(parts, "event_id", SEED, 5, among=F.col("split") == "train")
     result = evaluation.metrics_by_split(parts, "value", "pred_a", "split", "fold")
     return rounded_columns(result, "train", "test", "cv_mean")
 
