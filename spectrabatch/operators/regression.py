@@ -210,20 +210,36 @@ def r2_from_products(products: np.ndarray, coefficients: np.ndarray, intercept:
     return float(1.0 - (weights @ products @ weights) / spread) if spread > 0 else float("nan")
 
 
+def standardised(products: np.ndarray, training: Moments) -> np.ndarray:
+    """Cross products after scaling the features with the mean and deviation of the training rows."""
+    deviation = np.sqrt(np.maximum(np.diag(training.xx), 0.0) / training.n)
+    deviation = np.where(deviation > 1e-10 * np.maximum(np.abs(training.mean_x), 1.0), deviation, 1.0)
+    change = np.eye(len(products))
+    inner = np.arange(1, len(products) - 1)
+    change[inner, inner] = 1.0 / deviation
+    change[0, inner] = -training.mean_x / deviation
+    return change.T @ products @ change
+
+
 def cross_validate(
     df: DataFrame, features: str, label: str, fold: str,
-    components: Sequence[int] = (), penalties: Sequence[tuple[float, float]] = (),
+    components: Sequence[int] = (), penalties: Sequence[tuple[float, float]] = (), scale_in_fold: bool = False,
 ) -> DataFrame:
     """R2 per fold for every PLS size and every ElasticNet (alpha, l1_ratio), from one pass.
 
     The training part of a fold is the total minus the fold, so neither a fold
-    nor a grid point costs another pass.
+    nor a grid point costs another pass. By default the features are taken as
+    they come, scaled over all training rows or not at all; ``scale_in_fold``
+    scales them with the training part of each fold.
     """
     parts = products_by_fold(df, features, label, fold)
     total = sum(parts.values())
     rows = []
     for f, held_out in sorted(parts.items()):
         training = total - held_out
+        if scale_in_fold:
+            moments = Moments.of(training)
+            training, held_out = standardised(training, moments), standardised(held_out, moments)
         if components:
             path = pls_coefficients(training, max(components))
             for size in components:

@@ -108,6 +108,19 @@ def test_cross_validation_equals_refitting(frame, data):
     assert summary["PLS(2)"]["cv_min"] == min(values) and summary["PLS(2)"]["folds"] == 5
 
 
+def test_scaling_inside_the_folds(spark, frame, data):
+    x, y = data
+    inside = regression.cross_validate(frame, "x", "y", "fold", penalties=[(0.3, 0.5)], scale_in_fold=True)
+    got = {r["fold"]: r["r2"] for r in inside.collect()}
+    for f in range(5):
+        held = np.arange(SIZE) % 5 == f
+        mean, deviation = x[~held].mean(0), x[~held].std(0)
+        part = np.column_stack([np.ones((~held).sum()), (x[~held] - mean) / deviation, y[~held]])
+        w, b = regression.elasticnet_coefficients(part.T @ part, 0.3, 0.5)
+        error = y[held] - (x[held] - mean) / deviation @ w - b
+        assert got[f] == pytest.approx(1 - (error @ error) / ((y[held] - y[held].mean()) ** 2).sum(), rel=1e-8)
+
+
 def test_metrics_edge_cases(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.5), (None, 9.0), (4.0, None)], "y double, p double")
     row = evaluation.regression_metrics(df, "y", {"m": "p"}).first()
