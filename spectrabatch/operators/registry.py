@@ -146,7 +146,20 @@ def resolve_models(audit: DataFrame, models: DataFrame, versions: DataFrame, val
 
 
 def recent_activity(audit: DataFrame, models: DataFrame, versions: DataFrame, validations: DataFrame, n: int = 10) -> DataFrame:
-    """The latest records with their model; the trail is cut before the lookup."""
+    """The latest ``n`` records with their model.
+
+    The few records come to the driver first; their ids then reach the readers
+    of the three tables as pushed filters, so nothing is joined whole.
+    """
     newest = [F.desc("audit_date"), F.desc("audit_id")]
-    latest = audit.orderBy(*newest).limit(n)
-    return resolve_models(latest, models, versions, validations).orderBy(*newest)
+    rows = audit.orderBy(*newest).limit(n).collect()
+    latest = audit.sparkSession.createDataFrame(rows, audit.schema)
+
+    def ids(table: str) -> list:
+        return sorted({r["record_id"] for r in rows if r["table_name"] == table and r["record_id"] is not None})
+
+    checked = validations.where(F.col("validation_id").isin(ids("model_validations")))
+    of_checked = [r["version_id"] for r in checked.select("version_id").distinct().collect()]  # at most n
+    wanted = sorted({*ids("model_versions"), *(v for v in of_checked if v is not None)})
+    named = versions.where(F.col("version_id").isin(wanted))
+    return resolve_models(latest, models, named, checked).orderBy(*newest)
