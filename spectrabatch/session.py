@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,14 +28,30 @@ def local_session(cores: int | str = 8, app: str = "spectrabatch", memory: str =
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster.
+    """A fresh folder that the driver and all executors share.
 
-    Only a local master may fall back to a temporary folder: executors on other
-    machines could not read it.
+    It lies in the cluster's spark.checkpoint.dir, or below the warehouse where
+    that setting is missing; both are shared by contract.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="spectrabatch-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application.
+
+    Functions that run in Python workers are found there by name, so workers
+    that were started in another folder need the package itself.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_spectrabatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spectrabatch-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))  # the driver serves it to executors, also to those that start later
+    context._spectrabatch_shipped = True
