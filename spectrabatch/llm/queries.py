@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
-from . import id_files, packing
+from . import id_files, mixing, packing, simhash
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,14 @@ def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "id-files")
     id_files.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return id_files.read_positions(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
