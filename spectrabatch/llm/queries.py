@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import id_files, mixing, packing, simhash
+from . import bit_sliced, blob_ledger, id_files, mixing, packing, simhash
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+SQL_TOP = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * x::DOUBLE) AS DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
+@query("op3_bit_sliced", SQL_TOP)
+def op3_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op8_blob_ledger", blob_ledger.report_sql())
+def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return blob_ledger.report(blob_ledger.scan(documents, ["doc_id"], scratch_dir(spark, "blob-ledger")))
