@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import bit_sliced, blob_ledger, id_files, mixing, packing, simhash
+from . import bit_sliced, blob_ledger, id_files, mixing, packing, quality, simhash
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op3_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return blob_ledger.report(blob_ledger.scan(documents, ["doc_id"], scratch_dir(spark, "blob-ledger")))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
