@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import bit_sliced, blob_ledger, host_reputation, id_files, mixing, packing, quality, simhash
+from . import bit_sliced, blob_ledger, host_reputation, id_files, merkle, mixing, packing, quality, simhash
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_host_reputation", host_reputation.judge_sql())
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_merkle")
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_next(table(spark, sf_dir, "documents"))
