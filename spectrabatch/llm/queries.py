@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import bit_sliced, blob_ledger, host_reputation, id_files, merkle, mixing, packing, quality, simhash
+from . import bit_sliced, blob_ledger, host_reputation, id_files, merkle, mixing, packing, pii, quality, simhash
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_merkle")
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_next(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.scan(documents, pii.fit(documents))
