@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -165,3 +165,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     labels = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = stored(linked.join(labels, "root").select("fp", "component_id"), "simhash-labels")
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One document of every component, the one with the smallest doc_id, with all columns.
+
+    Copies of a row that stays are dropped; different texts under one doc_id that
+    stays all stay, since the id does not tell them apart. Rows without a doc_id
+    stay only if no doc_id is in their component.
+    """
+    marked = near_duplicates(docs, shingle, distance)
+    first = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows"))
+    kept = docs.join(stored(first, "simhash-first").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_first")))
+    single = kept.filter("_rows = 1").select(*docs.columns)
+    one = Window.partitionBy("doc_id", "_text").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
+    several = kept.filter("_rows > 1").withColumn("_text", F.sha2("text", 256)).withColumn("_place", F.row_number().over(one))
+    return single.unionByName(several.filter("_place = 1").select(*docs.columns))
