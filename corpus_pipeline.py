@@ -1,2 +1,65 @@
+"""The training-corpus pipeline: quality, near-duplicates, secrets, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
+kept; its result is written and read again before the next one starts. All but the
+last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from spectrabatch.llm import blob_ledger, mixing, packing, quality, simhash
+from spectrabatch.llm.common import stored, table
+from spectrabatch.session import scratch_dir, ship_package
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    ship_package(spark)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links (three words, two bits)."""
+    ship_package(spark)
+    return simhash.keep_first(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found masked in the text."""
+    ship_package(spark)
+    return blob_ledger.redact(docs, ["doc_id"], scratch_dir(spark, "blob-ledger"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: a document comes once for every pass that takes it."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    ship_package(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_copies),
+    ("secrets", without_secrets),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: The classifier, the fingerprints' hash and the tokenizer have no counterpart in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
