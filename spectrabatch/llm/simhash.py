@@ -67,14 +67,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, digest (a hash of the text as it is) and fp, the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    return texts.mapInArrow(rows, "doc_id long, digest long, fp long")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -155,7 +156,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, key_limit: int = KEY_LIMIT) -> DataFrame:
-    """Per row of the documents: doc_id, fp and component_id, the smallest doc_id reachable over links."""
+    """Per row of the documents: doc_id, digest, fp and component_id, the smallest doc_id reachable over links."""
     marked = stored(fingerprints(docs, shingle), "simhash-docs")
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
     roots = components(near_pairs(prints.select("fp"), distance, blocks, key_limit))
@@ -164,20 +165,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     linked = stored(rooted, "simhash-roots")
     labels = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = stored(linked.join(labels, "root").select("fp", "component_id"), "simhash-labels")
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(by_print, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of every component, the one with the smallest doc_id, with all columns.
 
-    Copies of a row that stays are dropped; different texts under one doc_id that
-    stays all stay, since the id does not tell them apart. Rows without a doc_id
-    stay only if no doc_id is in their component.
+    Rows alike in doc_id and text stay once, the first by their other columns;
+    different texts under one doc_id that stays all stay, since the id does not
+    tell them apart. A row without a doc_id stays only if its component has none.
     """
     marked = near_duplicates(docs, shingle, distance)
-    first = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(stored(first, "simhash-first").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_first")))
+    first = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_digest"))
+    kept = docs.join(stored(first, "simhash-first").hint("shuffle_hash"), same)
     single = kept.filter("_rows = 1").select(*docs.columns)
-    one = Window.partitionBy("doc_id", "_text").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
-    several = kept.filter("_rows > 1").withColumn("_text", F.sha2("text", 256)).withColumn("_place", F.row_number().over(one))
+    one = Window.partitionBy("doc_id", "_digest").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "doc_id")
+    several = kept.filter("_rows > 1").withColumn("_place", F.row_number().over(one))
     return single.unionByName(several.filter("_place = 1").select(*docs.columns))
