@@ -15,6 +15,13 @@ def as_double(spectrum: Column) -> Column:
     return spectrum.cast("array<double>")
 
 
+def of_length(spectrum: Column, points: int) -> Column:
+    """The spectrum with missing points as NaN; an error if it has another length."""
+    wrong = F.raise_error(F.format_string(f"a spectrum of %d points, expected {points}", F.size(spectrum))).cast("array<double>")
+    filled = F.transform(as_double(spectrum), lambda v: F.coalesce(v, F.lit(float("nan"))))
+    return F.when(spectrum.isNull(), F.lit(None)).when(F.size(spectrum) != points, wrong).otherwise(filled)
+
+
 def fill_missing(spectrum: Column) -> Column:
     return F.transform(as_double(spectrum), numeric.missing_to_zero)
 

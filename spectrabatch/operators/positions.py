@@ -23,7 +23,7 @@ DIGITS = 3  # hexadecimal digits per round: 4,096 cells
 MAX_DIGITS = 28  # beyond these, rows with equal digits are copies of one key
 RANK_ROWS = 1_000_000  # rows of one cell that a single task may rank
 CELL_ROWS = 1_000_000
-MIN_CELLS, MAX_CELLS = 16, 8192
+MIN_CELLS = 16
 
 
 def _running(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def key_bounds(df: DataFrame, key: str) -> list:
     They are fetched once and enter the plan as literals, so every pass over
     the data, also one repeated after a lost executor, cuts the key alike.
     """
-    cells = min(max(df.count() // CELL_ROWS, MIN_CELLS), MAX_CELLS)
+    cells = max(df.count() // CELL_ROWS, MIN_CELLS)
     shares = [i / cells for i in range(1, cells)]
     found = df.agg(F.percentile_approx(key, shares, 10 * cells).alias("b")).first()["b"]
     return sorted(set(found or []))
@@ -165,18 +165,18 @@ def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     return joined.withColumn(name, F.col("_before") + rank).drop("_cell", "_before")
 
 
-def rows_at_positions(df: DataFrame, group: str, key: str, positions: Column) -> DataFrame:
-    """Rows that stand at the wanted 1-based positions of their group in key order.
+def every_nth_row(df: DataFrame, group: str, key: str, step: Column, count: int) -> DataFrame:
+    """Rows 1, 1 + step, 1 + 2 step, ... of their group in key order, at most ``count`` of them.
 
-    ``positions`` is an array column that may use ``_n``, the size of the
-    group. A group of any size is split into cells, so no task ranks it whole.
-    Adds ``_pos``.
+    ``step`` may use ``_n``, the size of the group. A group of any size is split
+    into cells, so no task ranks it whole; which cells hold a wanted row follows
+    from the rows before them. Adds ``_pos``.
     """
     celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key)))
-    sizes = _running(celled.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_size")), [group])
-    wanted = sizes.select(group, "_cell", "_before", "_size", F.explode(positions).alias("_want"))
-    wanted = wanted.where((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_size")))
-    hit = wanted.groupBy(group, "_cell").agg(F.max("_before").alias("_before"), F.collect_set("_want").alias("_want"))
+    sizes = _running(celled.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_size")), [group]).withColumn("_step", step)
+    first = F.ceil(F.col("_before") / F.col("_step"))
+    hit = sizes.where((first * F.col("_step") < F.col("_before") + F.col("_size")) & (first < count))
     rank = F.row_number().over(W.partitionBy(group, "_cell").orderBy(key))
-    ranked = celled.join(hit, [group, "_cell"]).withColumn("_pos", F.col("_before") + rank)
-    return ranked.where(F.array_contains("_want", F.col("_pos"))).drop("_cell", "_before", "_want")
+    ranked = celled.join(hit.select(group, "_cell", "_before", "_step"), [group, "_cell"]).withColumn("_pos", F.col("_before") + rank)
+    wanted = ((F.col("_pos") - 1) % F.col("_step") == 0) & (F.col("_pos") <= F.col("_step") * (count - 1) + 1)
+    return ranked.where(wanted).drop("_cell", "_before", "_step")

@@ -11,8 +11,10 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
@@ -23,6 +25,11 @@ from ..functions import arrays
 from .scoring import LinearModel
 
 MAX_FEATURES = 4096  # the driver holds one features x features matrix per fold
+FIRST_LEVEL = 64  # partial matrices are added up in that many groups first
+
+
+class NotConverged(RuntimeError):
+    """A fit used up its iterations before it met its tolerance."""
 
 
 def elasticnet_penalty(alpha: float, l1_ratio: float, label_deviation: float) -> tuple[float, float]:
@@ -48,66 +55,120 @@ def fit_elasticnet(
         featuresCol=features, labelCol=label, regParam=strength, elasticNetParam=mix,
         standardization=False, maxIter=max_iter, tol=tol,
     )
-    return estimator.fit(vectors)
+    fitted = estimator.fit(vectors)
+    if strength > 0 and mix > 0 and fitted.summary.totalIterations >= max_iter:
+        raise NotConverged(f"{max_iter} iterations did not reach the tolerance {tol}")
+    return fitted
 
 
 def as_linear_model(fitted: LinearRegressionModel, name: str = "ElasticNet") -> LinearModel:
     return LinearModel(name, tuple(float(c) for c in fitted.coefficients), float(fitted.intercept))
 
 
-def cross_products(df: DataFrame, features: str, label: str, fold: str | None = None) -> DataFrame:
-    """Rows ``(fold, i, products)`` of the matrix of ``[1, features, label]``, summed over the samples.
-
-    Every task multiplies Arrow batches into one matrix per fold and emits its
-    rows; Spark adds them up by (fold, i). Merging input partitions first keeps
-    the number of partial matrices near the number of cores.
-    """
-    narrow = df.select(
+def _narrow(df: DataFrame, features: str, label: str, fold: str | None) -> DataFrame:
+    return df.select(
         (F.col(fold) if fold else F.lit(0)).cast("long").alias("fold"),
         arrays.as_double(F.col(features)).alias("x"),
         F.col(label).cast("double").alias("y"),
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    narrow = narrow.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
-    partial = narrow.mapInArrow(_partial_products, "fold long, i long, products array<double>")
-    summed = partial.groupBy("fold", "i").agg(Summarizer.sum(array_to_vector("products")).alias("v"))
-    return summed.select("fold", "i", vector_to_array("v").alias("products"))
 
+@dataclass(frozen=True)
+class Centre:
+    """Width and means of features and label, from a first pass over the rows that take part."""
+
+    width: int
+    x: np.ndarray
+    y: float
+
+
+def centre_of(df: DataFrame, features: str, label: str) -> Centre:
+    """Check the rows and take their means: one row per feature comes to the driver.
+
+    Feature arrays of different lengths, missing or infinite numbers, and more
+    than ``MAX_FEATURES`` columns raise an error before any matrix is built.
+    """
+    rows = _narrow(df, features, label, None)
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.isnan("y") | (F.abs("y") == float("inf"))
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high"),
+        F.count_if(bad).alias("bad"), F.avg("y").alias("y"),
+    ).first()
+    if not facts["n"]:
+        raise ValueError("no rows to fit")
+    if facts["low"] != facts["high"]:
+        raise ValueError(f"feature arrays of {facts['low']} to {facts['high']} numbers")
+    if facts["high"] > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    if facts["bad"]:
+        raise ValueError(f"{facts['bad']} rows with missing or infinite numbers; fill them first")
+    means = rows.select(F.posexplode_outer("x").alias("i", "v")).where("i is not null").groupBy("i").agg(F.avg("v").alias("m")).collect()
+    x = np.zeros(facts["high"])
+    for r in means:
+        x[r["i"]] = r["m"]
+    return Centre(facts["high"], x, facts["y"])
+
+
+def cross_products(df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None) -> DataFrame:
+    """Rows ``(fold, i, products)`` of the matrix of ``[1, features, label]``, summed over the samples.
 
-def _partial_products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every input task multiplies Arrow batches into one matrix per fold and emits
+    its rows; Spark adds them up in two levels, so no reducer meets the rows of
+    all tasks. With ``centre`` its means are taken off first, which keeps the
+    precision that subtracting large sums afterwards would lose.
+    """
+    offsets = None if centre is None else (centre.x, centre.y)
+    partial = _narrow(df, features, label, fold).mapInArrow(lambda batches: _partial_products(batches, offsets), "part long, fold long, i long, products array<double>")
+    total = Summarizer.sum(array_to_vector("products")).alias("v")
+    first = partial.groupBy("part", "fold", "i").agg(total).select("fold", "i", vector_to_array("v").alias("products"))
+    return first.groupBy("fold", "i").agg(total).select("fold", "i", vector_to_array("v").alias("products"))
+
+
+def _partial_products(batches: Iterable[pa.RecordBatch], offsets: tuple | None = None) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
+    width = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         fold, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        lengths = np.unique(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        width = int(lengths[0]) if width is None else width
+        if len(lengths) > 1 or lengths[0] != width:
+            raise ValueError(f"feature arrays of {sorted({width, *map(int, lengths)})} numbers")
+        flat = batch.column(1).flatten()
+        if flat.null_count:
+            raise ValueError("a feature array has missing numbers; fill them first")
+        x = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        if offsets is not None:
+            x, y = x - offsets[0], y - offsets[1]
         for f in np.unique(fold):
             rows = fold == f
             block = np.column_stack([np.ones(int(rows.sum())), x[rows], y[rows]])
             product = block.T @ block
             sums[int(f)] = sums[int(f)] + product if int(f) in sums else product
+    part = TaskContext.get().partitionId() % FIRST_LEVEL
     for f, matrix in sums.items():
         size = matrix.shape[0]
         rows = pa.ListArray.from_arrays(
             pa.array(np.arange(0, size * size + 1, size, dtype=np.int32)), pa.array(matrix.ravel())
         )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, f, dtype=np.int64)), pa.array(np.arange(size, dtype=np.int64)), rows],
-            names=["fold", "i", "products"],
+            [pa.array(np.full(size, part, dtype=np.int64)), pa.array(np.full(size, f, dtype=np.int64)), pa.array(np.arange(size, dtype=np.int64)), rows],
+            names=["part", "fold", "i", "products"],
         )
 
 
-def products_by_fold(df: DataFrame, features: str, label: str, fold: str | None = None) -> dict[int, np.ndarray]:
-    """The summed matrices on the driver: ``folds x (features + 2)^2`` numbers."""
-    table = cross_products(df, features, label, fold).orderBy("fold", "i").toArrow()
+def products_by_fold(
+    df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None
+) -> dict[int, np.ndarray]:
+    """The summed matrices on the driver: ``folds x (features + 2)^2`` numbers; the width is checked first."""
+    if centre is None:
+        centre_of(df, features, label)
+    table = cross_products(df, features, label, fold, centre).orderBy("fold", "i").toArrow()
     matrices = {}
     for f in table["fold"].unique().to_pylist():
         rows = table.filter(pc.equal(table["fold"], f))["products"].combine_chunks()
         matrices[f] = rows.flatten().to_numpy().reshape(len(rows), -1)
-    if not matrices:
-        raise ValueError("no rows to fit")
-    if any(m.shape[0] - 2 > MAX_FEATURES for m in matrices.values()):
-        raise ValueError(f"more than {MAX_FEATURES} features")
     return matrices
 
 
@@ -192,15 +253,16 @@ def elasticnet_coefficients(
                 gradient -= xx[:, j] * change
                 w[j] = new
                 largest = max(largest, abs(change))
-        if largest <= tol * max(np.abs(w).max(), 1e-300):
-            break
-    return w, float(m.mean_y - m.mean_x @ w)
+        if largest <= tol * max(np.abs(w).max(initial=0.0), 1e-300):
+            return w, float(m.mean_y - m.mean_x @ w)
+    raise NotConverged(f"{sweeps} sweeps did not reach the tolerance {tol}; allow more sweeps or a larger penalty")
 
 
 def fit_pls(df: DataFrame, features: str, label: str, components: int = 10, name: str = "PLS") -> LinearModel:
-    products = products_by_fold(df, features, label)[0]
-    coefficients, intercept = pls_coefficients(products, components)[-1]
-    return LinearModel(name, tuple(float(c) for c in coefficients), intercept)
+    """From centred products; the intercept is moved back to the features as they came."""
+    centre = centre_of(df, features, label)
+    coefficients, intercept = pls_coefficients(products_by_fold(df, features, label, centre=centre)[0], components)[-1]
+    return LinearModel(name, tuple(float(c) for c in coefficients), float(intercept + centre.y - centre.x @ coefficients))
 
 
 def r2_from_products(products: np.ndarray, coefficients: np.ndarray, intercept: float) -> float:
@@ -230,24 +292,36 @@ def cross_validate(
     The training part of a fold is the total minus the fold, so neither a fold
     nor a grid point costs another pass. By default the features are taken as
     they come, scaled over all training rows or not at all; ``scale_in_fold``
-    scales them with the training part of each fold.
+    scales them with the training part of each fold. Each fold and penalty is a
+    task of its own.
     """
-    parts = products_by_fold(df, features, label, fold)
-    total = sum(parts.values())
-    rows = []
-    for f, held_out in sorted(parts.items()):
-        training = total - held_out
-        if scale_in_fold:
-            moments = Moments.of(training)
-            training, held_out = standardised(training, moments), standardised(held_out, moments)
-        if components:
-            path = pls_coefficients(training, max(components))
-            for size in components:
-                rows.append((f"PLS({size})", f, r2_from_products(held_out, *path[size - 1])))
-        for alpha, l1_ratio in penalties:
-            fit = elasticnet_coefficients(training, alpha, l1_ratio)
-            rows.append((f"ElasticNet({alpha:g},{l1_ratio:g})", f, r2_from_products(held_out, *fit)))
-    return df.sparkSession.createDataFrame(rows, "model string, fold long, r2 double")
+    centre = centre_of(df, features, label)  # the same for all folds, so R2 does not change
+    parts = products_by_fold(df, features, label, fold, centre)
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast((parts, sum(parts.values())))  # folds + 1 matrices of bounded width
+    jobs = [(f, "PLS", 0.0, 0.0) for f in sorted(parts) if components]
+    jobs += [(f, "ElasticNet", float(a), float(r)) for f in sorted(parts) for a, r in penalties]
+    sizes = list(components)
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, total = sent.value
+        for frame in frames:
+            rows = []
+            for f, kind, alpha, l1_ratio in frame.itertuples(index=False):
+                held_out, training = parts[f], total - parts[f]
+                if scale_in_fold:
+                    moments = Moments.of(training)
+                    training, held_out = standardised(training, moments), standardised(held_out, moments)
+                if kind == "PLS":
+                    path = pls_coefficients(training, max(sizes))
+                    rows += [(f"PLS({size})", f, r2_from_products(held_out, *path[size - 1])) for size in sizes]
+                else:
+                    found = elasticnet_coefficients(training, alpha, l1_ratio)
+                    rows.append((f"ElasticNet({alpha:g},{l1_ratio:g})", f, r2_from_products(held_out, *found)))
+            yield pd.DataFrame(rows, columns=["model", "fold", "r2"])
+
+    table = spark.createDataFrame(jobs, "fold long, kind string, alpha double, l1_ratio double").repartition(max(1, len(jobs)))
+    return table.mapInPandas(fit, "model string, fold long, r2 double")
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions.numeric import order_hash
 from . import positions
 from .statistics import value_range
 
-TOP_ROWS = 10_000  # up to here a per-task heap finds the first rows
+TOP_ROWS = 10_000  # drawn keys up to here are broadcast
 GROUP_LIMIT = 1_000  # up to here Spark limits every group before the shuffle
 SALTS = 64
 
@@ -38,9 +38,7 @@ def assign_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> Dat
 
 
 def random_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` random rows (all, if there are fewer)."""
-    if n <= TOP_ROWS:
-        return df.withColumn("_h", order_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    """``n`` random rows (all, if there are fewer); copies of a key are drawn together or not at all."""
     return df.where(positions.first_in_hash_order(df, key, seed, lambda rows: min(n, rows)))
 
 
@@ -48,9 +46,11 @@ def first_per_group(df: DataFrame, group: str, order: Sequence[str], k: int, sal
     """The first ``k`` rows of every group; a hot group never reaches one task whole.
 
     For small ``k`` Spark limits each group before the shuffle by itself
-    (WindowGroupLimit). For larger ``k`` salted parts are limited first.
+    (WindowGroupLimit). For larger ``k`` salted parts are limited first, by a
+    hash of the order columns unless ``salt`` names another spread.
     """
-    if k > GROUP_LIMIT and salt is not None:
+    if k > GROUP_LIMIT:
+        salt = F.struct(*order) if salt is None else salt
         salted = W.partitionBy(group, "_salt").orderBy(*order)
         df = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
         df = df.withColumn("_rn", F.row_number().over(salted)).where(F.col("_rn") <= k).drop("_rn", "_salt")
@@ -87,12 +87,8 @@ def _pick_systematic(narrow: DataFrame, key: str, column: str, bins: int, k: int
     strata = with_strata(narrow.select(key, column), column, bins).where(F.col("bin") <= bins)
     if only is not None:
         strata = strata.where(F.col("bin").isin(list(only)))
-    n = F.col("_n")
-    step = F.greatest(F.floor(n / F.lit(k)), F.lit(1)).cast("long")
-    wanted = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(k).cast("long")) - 1), lambda i: i * step + 1
-    )
-    return positions.rows_at_positions(strata, "bin", key, wanted).select(key, "bin")
+    step = F.greatest(F.floor(F.col("_n") / F.lit(k)), F.lit(1)).cast("long")
+    return positions.every_nth_row(strata, "bin", key, step, k).select(key, "bin")
 
 
 def systematic_sample(df: DataFrame, key: str, column: str, bins: int = 10, k: int = 10,

@@ -1,11 +1,15 @@
 """Spectral preprocessing on array columns.
 
-Pointwise steps are higher-order functions. For the stencils there are two
-plans with equal results: shifted array copies inside the JVM, and NumPy over
-Arrow batches. Interpreted lambdas cost about 0.1 microseconds per point and
-tap, so the Arrow plan wins as soon as points x taps outgrows the cost of
-handing the batch to Python (see README, "Measured choices").
+Pointwise steps are higher-order functions. For the stencils the caller chooses
+between two plans with equal results: NumPy over Arrow batches (the default), and
+shifted array copies inside the JVM (``plan="array"``), whose interpreted lambdas
+cost about 0.1 microseconds per point and tap (see README, "Measured choices").
 Neither plan shuffles.
+
+Both plans treat input alike: a NULL spectrum stays NULL, a missing point counts
+as NaN and spreads to the points its window reaches, and a spectrum of another
+length than the axis is an error; send such rows aside first
+(``cleaning.validate_length``).
 """
 
 from __future__ import annotations
@@ -22,8 +26,6 @@ from pyspark.sql import types as T
 from ..functions import arrays, stencils
 from ..functions.stencils import SpectralSteps
 
-ARROW_FROM = 4000
-
 
 def range_cut(df: DataFrame, spectrum: str, axis: Sequence[float], low: float, high: float) -> tuple[DataFrame, list[float]]:
     """Keep the points with ``low <= axis <= high``; returns the cut axis as well."""
@@ -36,17 +38,18 @@ def linear_baseline(df: DataFrame, spectrum: str, points: int) -> DataFrame:
     return df.withColumn(spectrum, arrays.subtract_end_line(F.col(spectrum), points))
 
 
-def savgol_smooth(df: DataFrame, spectrum: str, points: int, window: int = 5, order: int = 2) -> DataFrame:
-    return _stencils(df, spectrum, points, [stencils.savgol_taps(window, order)])
+def savgol_smooth(df: DataFrame, spectrum: str, points: int, window: int = 5, order: int = 2, plan: str = "arrow") -> DataFrame:
+    return _stencils(df, spectrum, points, [stencils.savgol_taps(window, order)], plan)
 
 
-def norris_williams(df: DataFrame, spectrum: str, points: int, segment: int = 3, gap: int = 2) -> DataFrame:
+def norris_williams(df: DataFrame, spectrum: str, points: int, segment: int = 3, gap: int = 2, plan: str = "arrow") -> DataFrame:
     """Segment mean, then the slope over ``gap`` points to either side."""
-    return _stencils(df, spectrum, points, [stencils.segment_taps(segment), stencils.gap_taps(gap)])
+    return _stencils(df, spectrum, points, [stencils.segment_taps(segment), stencils.gap_taps(gap)], plan)
 
 
-def _stencils(df: DataFrame, spectrum: str, points: int, sequence: list[dict[int, float]]) -> DataFrame:
-    if points * sum(len(taps) for taps in sequence) < ARROW_FROM:
+def _stencils(df: DataFrame, spectrum: str, points: int, sequence: list[dict[int, float]], plan: str) -> DataFrame:
+    if plan == "array":
+        df = df.withColumn(spectrum, arrays.of_length(F.col(spectrum), points))
         for taps in sequence:
             df = _stencil(df, spectrum, taps, points)
         return df
@@ -81,6 +84,7 @@ def preprocess(
         out = map_spectra(cleaned, spectrum, len(axis), lambda block: stencils.apply_steps(block, start, stop, steps))
         return out, list(axis[start:stop])
     points = stop - start
+    cleaned = cleaned.withColumn(spectrum, arrays.of_length(F.col(spectrum), len(axis)))
     out, cut_axis = range_cut(cleaned, spectrum, axis, steps.low, steps.high)
     out = linear_baseline(out, spectrum, points)
     for taps in steps.tap_sequence():
@@ -91,7 +95,8 @@ def preprocess(
 def map_spectra(df: DataFrame, spectrum: str, points: int, function) -> DataFrame:
     """Apply ``function`` on (rows x points) blocks, Arrow batch by Arrow batch.
 
-    The other columns pass through untouched. NULL spectra stay NULL.
+    The other columns pass through untouched. NULL spectra stay NULL; one of
+    another length raises an error, so values never cross between samples.
     """
     schema = T.StructType(
         [T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == spectrum else f.dataType) for f in df.schema]
@@ -109,7 +114,11 @@ def map_spectra(df: DataFrame, spectrum: str, points: int, function) -> DataFram
 
 def _map_list(column: pa.ListArray, points: int, function) -> pa.ListArray:
     present = column.is_valid().to_numpy(zero_copy_only=False)
-    flat = column.drop_null().flatten()
+    lists = column.drop_null()
+    lengths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+    if any(n != points for n in lengths):
+        raise ValueError(f"spectra of {sorted(int(n) for n in lengths)} points, expected {points}")
+    flat = lists.flatten()
     block = flat.to_numpy(zero_copy_only=False).reshape(int(present.sum()), points)
     result = np.ascontiguousarray(function(block))
     width = result.shape[1]
@@ -215,7 +224,24 @@ def batch_mean_spectrum(df: DataFrame, batch: str, spectrum: str, axis: Sequence
 
 
 def transposed(df: DataFrame, spectrum: str, axis: Sequence[float], column_key: str, keys: Sequence[int]) -> DataFrame:
-    """One row per axis point, one column per key of the given, bounded list."""
-    long = to_long(df, [column_key], spectrum, axis)
+    """One row per axis point, one column per key of the given, bounded list; the mean where a key repeats."""
+    long = to_long(df.where(F.col(column_key).isin(list(keys))), [column_key], spectrum, axis)
     pivoted = long.groupBy("wl").pivot(column_key, list(keys)).agg(F.avg("intensity"))
     return pivoted.select("wl", *[F.col(f"`{k}`").alias(f"s_{k}") for k in keys])
+
+
+TRANSPOSED_ROWS = 10_000  # a row becomes a column of the plan
+
+
+def transpose_rows(df: DataFrame, key: str, first: int, last: int, spectrum: str, axis: Sequence[float], low: float, high: float) -> DataFrame:
+    """The rows with keys first..last and the points low..high, turned around: one column per key.
+
+    The keys come from the data, so none is lost; a key that occurs twice is an
+    error, and so are more rows than a plan can hold as columns.
+    """
+    rows = df.where(F.col(key).between(first, last))
+    keys = [r[key] for r in rows.select(key).limit(TRANSPOSED_ROWS + 1).collect()]
+    if len(keys) > TRANSPOSED_ROWS or len(set(keys)) < len(keys):
+        raise ValueError("a transpose needs unique keys, at most " + str(TRANSPOSED_ROWS))
+    cut, cut_axis = range_cut(rows, spectrum, axis, low, high)
+    return transposed(cut, spectrum, cut_axis, key, sorted(keys))

@@ -132,3 +132,6 @@ def test_row_slice_plans_agree(spark, monkeypatch):
     monkeypatch.setattr(schema, "SHORT_HEAD", 5)
     deep = [r[0] for r in schema.row_slice(df, "id", 10, 25).orderBy("id").collect()]
     assert short == deep == [3 * i for i in range(10, 25)]
+    for stop in (3, 300):
+        with pytest.raises(TypeError):
+            schema.row_slice(df.selectExpr("string(id) AS id"), "id", 0, stop)

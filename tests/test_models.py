@@ -121,6 +121,40 @@ def test_scaling_inside_the_folds(spark, frame, data):
         assert got[f] == pytest.approx(1 - (error @ error) / ((y[held] - y[held].mean()) ** 2).sum(), rel=1e-8)
 
 
+def test_bad_features_are_refused(spark, monkeypatch):
+    """Other lengths, gaps and too many columns raise instead of giving a wrong matrix."""
+    make = lambda rows: spark.createDataFrame([(x, 1.0 * i, i % 2) for i, x in enumerate(rows)], "x array<double>, y double, fold long").coalesce(1)
+    for rows in ([[1.0, 2.0, 3.0], [1.0]], [[1.0, None], [2.0, 3.0]], [[1.0, float("nan")], [2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            regression.fit_pls(make(rows), "x", "y", 1)
+        with pytest.raises(ValueError):
+            regression.cross_validate(make(rows), "x", "y", "fold", [1])
+    for rows in ([[1.0, 2.0, 3.0], [1.0]], [[1.0, None], [2.0, 3.0]]):
+        with pytest.raises(Exception, match="feature array"):
+            regression.gram_matrix(make(rows), "x", "y").collect()
+    monkeypatch.setattr(regression, "MAX_FEATURES", 1)
+    with pytest.raises(ValueError, match="more than 1 features"):
+        regression.fit_pls(make([[1.0, 2.0], [2.0, 5.0]]), "x", "y", 1)
+
+
+def test_unfinished_fits_are_reported(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=200)
+    x = np.column_stack([base + 1e-4 * rng.normal(size=200) for _ in range(5)])
+    full = np.column_stack([np.ones(200), x, x.sum(axis=1)])
+    with pytest.raises(regression.NotConverged):
+        regression.elasticnet_coefficients(full.T @ full, 1e-7, 0.5, sweeps=50)
+
+
+def test_centred_products_keep_small_variances(spark):
+    """Mean 1e6 and deviation 1e-2: sums of squares would cancel."""
+    rng = np.random.default_rng(5)
+    x = 1e6 + 1e-2 * rng.normal(size=(400, 3))
+    y = (x - 1e6) @ np.array([1.0, -2.0, 0.5])
+    df = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
+    np.testing.assert_allclose(regression.fit_pls(df, "x", "y", 3).coefficients, [1.0, -2.0, 0.5], rtol=1e-5)
+
+
 def test_metrics_edge_cases(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.5), (None, 9.0), (4.0, None)], "y double, p double")
     row = evaluation.regression_metrics(df, "y", {"m": "p"}).first()

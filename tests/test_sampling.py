@@ -61,6 +61,12 @@ def test_random_sample_both_plans(spark, monkeypatch):
     assert sampling.random_sample(df, "id", 1000).count() == 500
 
 
+def test_random_sample_of_copies_does_not_depend_on_the_size(spark):
+    df = spark.range(20_000).selectExpr("id div 4 AS id")
+    counts = [sampling.random_sample(df, "id", n).count() for n in (9_999, 10_000, 10_001)]
+    assert counts == [10_000, 10_000, 10_004]
+
+
 def test_positions_are_complete(spark, monkeypatch):
     monkeypatch.setattr(positions, "CELL_ROWS", 20)
     df = spark.range(1000).selectExpr("id * id AS id").repartition(7)

@@ -48,16 +48,29 @@ def test_array_arrow_and_long_plan_agree(spark, noise):
     np.testing.assert_allclose(grid(data, len(axis)), rows(arrow), atol=1e-12)
 
 
-def test_single_steps_switch_to_arrow_for_wide_spectra(spark, noise, monkeypatch):
+def test_single_steps_have_two_equal_plans(spark, noise):
     df = table(spark, noise)
-    inside = rows(spectral.norris_williams(df, "s", POINTS)), rows(spectral.savgol_smooth(df, "s", POINTS))
-    monkeypatch.setattr(spectral, "ARROW_FROM", 1)
+    inside = [rows(step(df, "s", POINTS, plan="array")) for step in (spectral.norris_williams, spectral.savgol_smooth)]
     arrow = spectral.norris_williams(df, "s", POINTS)
     assert "MapInArrow" in arrow._jdf.queryExecution().executedPlan().toString()
     np.testing.assert_allclose(rows(arrow), inside[0], atol=1e-12)
     np.testing.assert_allclose(rows(spectral.savgol_smooth(df, "s", POINTS)), inside[1], atol=1e-12)
 
 
+@pytest.mark.parametrize("plan", ["array", "arrow"])
+def test_ragged_spectra_are_refused_and_gaps_stay_gaps(spark, plan):
+    """Values never cross from one sample to the next."""
+    ragged = spark.createDataFrame([(1, [1.0] * 5), (2, [2.0, 5.0, 5.0])], "id long, s array<double>").coalesce(1)
+    with pytest.raises(Exception, match="points, expected 4"):
+        spectral.savgol_smooth(ragged, "s", 4, 3, 1, plan=plan).collect()
+    with pytest.raises(Exception, match="expected 4"):
+        spectral.preprocess(ragged, "s", [1.0, 2.0, 3.0, 4.0], spectral.SpectralSteps(1, 4, 3, 1, 1, 1), plan=plan)[0].collect()
+    gaps = spark.createDataFrame([(1, [1.0, None, 1.0, 1.0, 1.0]), (2, None), (3, [2.0] * 5)], "id long, s array<double>")
+    got = {r["id"]: r["s"] for r in spectral.savgol_smooth(gaps, "s", 5, 3, 1, plan=plan).collect()}
+    assert [np.isnan(v) for v in got[1]] == [True, True, True, False, False] and got[2] is None
+    np.testing.assert_allclose(got[3], [2.0] * 5)
+
+
 def test_arrow_plan_keeps_null_rows_and_other_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, "b"), (3, [3.0, 4.0], "c")], "id long, s array<double>, t string")
     got = {r["id"]: (r["s"], r["t"]) for r in spectral.map_spectra(df, "s", 2, lambda b: b * 2).collect()}
