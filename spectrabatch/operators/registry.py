@@ -6,8 +6,11 @@ namings it replaces).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import positions
 
@@ -39,6 +42,19 @@ def latest_validated(models: DataFrame, versions: DataFrame, hide: str = HIDDEN_
     )
 
 
+def all_versions(models: DataFrame, versions: DataFrame, hide: str = HIDDEN_MODELS) -> DataFrame:
+    """Versions in every state, newest first, with their display class."""
+    joined = versions_with_models(models, versions, hide)
+    shown = joined.select("model_name", "version_id", "created_date", "status", display_class(F.upper("status")).alias("display_class"))
+    return shown.orderBy(F.desc("created_date"), "version_id")
+
+
+def versions_of_family(models: DataFrame, versions: DataFrame, family: str) -> DataFrame:
+    """All versions of the models whose name fits the pattern, newest first."""
+    joined = versions.join(models.where(F.col("model_name").like(family)), "model_id")
+    return joined.select("model_name", "version_id", "created_date", "status").orderBy(F.desc("created_date"), "version_id")
+
+
 def inventory(models: DataFrame, versions: DataFrame, hide: str = HIDDEN_MODELS) -> DataFrame:
     """One row of counts; the validations are counted without the name filter."""
     validations = versions.where(F.col("status") == VALIDATED).agg(
@@ -112,13 +128,20 @@ def display_class(status: Column) -> Column:
     return chain
 
 
-def insert_absent(existing: DataFrame, incoming: DataFrame, used_ids: DataFrame | None = None) -> DataFrame:
+def insert_absent(
+    existing: DataFrame, incoming: DataFrame, used_ids: DataFrame | None = None, stage: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Incoming models whose name is new, with ids that continue the used ones.
 
-    ``incoming`` has a unique numeric ``submission`` that fixes the id order.
-    ``used_ids`` names further taken ids in ``model_id``.
+    ``incoming`` has a unique numeric ``submission`` that fixes the id order. Of
+    several submissions of one name the first counts, and those without a name
+    are left out. ``used_ids`` names further taken ids in ``model_id``. Numbering
+    reads the new rows several times; ``stage`` may write them once.
     """
-    new = incoming.join(existing.select("model_name"), "model_name", "left_anti")
+    first = W.partitionBy("model_name").orderBy("submission")
+    named = incoming.where(F.col("model_name").isNotNull()).withColumn("_first", F.row_number().over(first))
+    new = named.where(F.col("_first") == 1).drop("_first").join(existing.select("model_name"), "model_name", "left_anti")
+    new = new if stage is None else stage(new)
     taken = existing.select("model_id")
     if used_ids is not None:
         taken = taken.union(used_ids.select("model_id"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import registry
-from ..sources.tables import read_parquet
+from ..session import scratch_dir
+from ..sources.registry_store import Registry
+from ..sources.tables import read_parquet, staged
 from .base import query, sql_round
 
 HIDE = "%household%"
@@ -68,7 +70,7 @@ def registry_latest_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT total_models, validated_models, development_models, total_versions, last_model_update,
               (SELECT count(*) FROM {SQL_VERSIONS} WHERE status = 'Validated') AS total_validations,
               (SELECT max(created_date) FROM {SQL_VERSIONS} WHERE status = 'Validated') AS last_validation,
-              {sql_round('coalesce(validated_models / nullif(total_versions, 0) * 100, 0)')} AS approved_share
+              {sql_round('coalesce(validated_models / nullif(total_models, 0) * 100, 0)')} AS approved_share
         FROM (SELECT count(DISTINCT model_name) AS total_models,
                      count(CASE WHEN status = 'Validated' THEN 1 END) AS validated_models,
                      count(CASE WHEN status = 'In Development' THEN 1 END) AS development_models,
@@ -78,7 +80,7 @@ def registry_latest_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = registry.inventory(models(spark, sf_dir), versions(spark, sf_dir), HIDE)
     counts = day_text(counts, "last_model_update", "last_validation")
-    return counts.withColumn("approved_share", rounded(registry.approved_share("total_versions", "validated_models")))
+    return counts.withColumn("approved_share", rounded(registry.approved_share("total_models", "validated_models")))
 
 
 @query(
@@ -154,7 +156,75 @@ def registry_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     incoming = read_parquet(spark, sf_dir, "part").select(F.col("p_partkey").alias("submission"), name.alias("model_name"))
-    return registry.insert_absent(existing, incoming).select("submission", "model_name", "model_id")
+    return registry.insert_absent(existing, incoming, stage=staging(spark)).select("submission", "model_name", "model_id")
+
+
+def staging(spark: SparkSession):
+    return lambda df: staged(df, scratch_dir(spark, "registry"))
+
+
+SQL_SUBMITTED = """(SELECT p_partkey AS submission, CASE WHEN p_size % 10 > 0 THEN p_brand || ' ' || p_size END AS model_name,
+                     0.6 + p_size / 100.0 AS r2, p_size / 20.0 AS rmse, p_size / 25.0 AS mae FROM part)"""
+
+
+@query(
+    "registry_register",
+    f"""WITH first AS (SELECT * FROM {SQL_SUBMITTED} WHERE model_name IS NOT NULL
+                        QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY submission) = 1),
+             half AS (SELECT max(p_partkey) / 2 AS h FROM part),
+             early AS (SELECT model_name, submission FROM first, half WHERE submission <= h),
+             numbered AS (
+               SELECT f.*, CASE WHEN e.model_name IS NOT NULL THEN row_number() OVER (PARTITION BY e.model_name IS NULL ORDER BY f.submission)
+                                ELSE (SELECT count(*) FROM early) + row_number() OVER (PARTITION BY e.model_name IS NULL ORDER BY f.submission) END AS model_id,
+                      r2 > 0.7 AND rmse < 2.0 AND mae < 1.5 AS passed
+               FROM first f LEFT JOIN early e USING (model_name))
+        SELECT model_id, model_name, model_id AS version_id, '1.0.0' AS version_number, CASE WHEN passed THEN 'Validated' ELSE 'In Development' END AS status,
+               CASE WHEN passed THEN 'Passed' ELSE 'Failed' END AS validation_result, CASE WHEN passed THEN 'Production' END AS environment
+        FROM numbered""",
+)
+def registry_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of submissions with repeated and missing names; then all four written tables joined."""
+    size = F.col("p_size")
+    submitted = read_parquet(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("submission"),
+        F.when(size % 10 > 0, F.concat("p_brand", F.lit(" "), size.cast("string"))).alias("model_name"),
+        F.lit("Hybrid").alias("model_type"), F.col("p_name").alias("description"), F.lit("query").alias("created_by"),
+        F.lit("models/").alias("file_path"), F.md5("p_name").alias("file_hash"),
+        F.struct((size / 100.0 + 0.6).alias("r2_score"), (size / 20.0).alias("rmse"), (size / 25.0).alias("mae")).alias("performance_metrics"),
+        F.struct(size.alias("layers")).alias("parameters"), F.struct(F.lit(4000).alias("training_samples")).alias("data_info"),
+    )
+    half = submitted.agg(F.max("submission") / 2).scalar()
+    store = Registry(spark, scratch_dir(spark, "registry-tables"))
+    store.register(submitted.where(F.col("submission") <= half))
+    store.register(submitted)
+    models, versions, checks, used = (store.table(n) for n in ("models", "model_versions", "model_validations", "model_deployments"))
+    return (
+        models.select("model_id", "model_name")
+        .join(versions.select("model_id", "version_id", "version_number", "status"), "model_id")
+        .join(checks.select("version_id", "validation_result"), "version_id")
+        .join(used.select("version_id", "environment"), "version_id", "left")
+    )
+
+
+@query(
+    "registry_all_versions",
+    f"""SELECT model_name, version_id, created_date, status,
+              CASE upper(status) WHEN 'APPROVED' THEN 'success' WHEN 'VALIDATED' THEN 'info' WHEN 'DRAFT' THEN 'warning'
+                   WHEN 'DEPRECATED' THEN 'danger' ELSE '' END AS display_class
+        FROM {SQL_VERSIONS} JOIN {SQL_MODELS} USING (model_id) WHERE model_name NOT ILIKE '{HIDE}'
+        ORDER BY created_date DESC, version_id""",
+)
+def registry_all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_text(registry.all_versions(models(spark, sf_dir), versions(spark, sf_dir), HIDE), "created_date")
+
+
+@query(
+    "registry_family",
+    f"""SELECT model_name, version_id, created_date, status FROM {SQL_VERSIONS} JOIN {SQL_MODELS} USING (model_id)
+        WHERE model_name LIKE 'BUILDING%' ORDER BY created_date DESC, version_id""",
+)
+def registry_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_text(registry.versions_of_family(models(spark, sf_dir), versions(spark, sf_dir), "BUILDING%"), "created_date")
 
 
 SQL_AUDIT = """(SELECT event_id AS audit_id, ts, user_id AS record_id,
@@ -183,6 +253,9 @@ def audit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("audit_date"),
         table.alias("table_name"),
         F.col("user_id").alias("record_id"),
+        kind.alias("action"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("user_name"),
+        F.col("props").alias("reason"),
     )
     named = read_parquet(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("model_id"), F.col("n_name").alias("model_name")
@@ -207,3 +280,10 @@ def audit_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = registry.recent_activity(*audit_tables(spark, sf_dir), n=10)
     return resolved.select("audit_id", "audit_date", "table_name", "record_id", "model_name")
+
+
+@query("audit_details", f"""SELECT a.*, event_type AS action, 'user ' || user_id AS user_name, props AS reason
+                            FROM ({SQL_AUDIT_NAMED}) a JOIN events ON event_id = audit_id""")
+def audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trail with model, action, user and reason."""
+    return registry.resolve_models(*audit_tables(spark, sf_dir))

@@ -10,8 +10,10 @@ from ..functions.numeric import rounded
 from ..functions.stencils import SpectralSteps
 from ..operators import cleaning, evaluation, positions, regression, sampling, scoring, spectral
 from ..operators import statistics as stats
+from ..session import scratch_dir
+from ..sources import history, models, tables
 from .base import (
-    AXIS, POINTS, SQL_PREDICTIONS, SQL_SPECTRA, predictions, query, spectra, sql_round, targets,
+    AXIS, POINTS, SQL_PREDICTIONS, SQL_SPECTRA, first_prediction, predictions, query, second_prediction, spectra, sql_round, targets,
 )
 from .sampling import SEED, SQL_HASH, SQL_TEST_SIZE
 from .spectra import CUT, sql_chain, sql_scaled
@@ -391,3 +393,131 @@ def cv_first_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spectra(spark, sf_dir).select("vec_id", "spectrum", F.col("label").cast("double").alias("target"))
     folded = sampling.assign_folds(table, "vec_id", 5, SEED)
     return rounded_columns(regression.cross_validate(folded, "spectrum", "target", "fold", components=[1]), "r2")
+
+
+SQL_TRAINING_STATS = f"""(SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS d
+    FROM (SELECT vec_id, unnest(range(1, {CUT} + 1)) AS i, unnest(s) AS v FROM {sql_chain(SQL_DIRTY_CUT)}) WHERE vec_id % 5 > 0 GROUP BY i)"""
+SQL_STORED_SCORE = f"""(SELECT vec_id, sum((v - m) / d * (((i - 1) * 5) % 13 - 6)) + 30.0 AS score
+    FROM (SELECT vec_id, unnest(range(1, {CUT} + 1)) AS i, unnest(s) AS v FROM {sql_chain(SQL_DIRTY_CUT)}) JOIN {SQL_TRAINING_STATS} USING (i)
+    WHERE vec_id % 5 = 0 GROUP BY vec_id)"""
+
+
+@query(
+    "batch_scoring_stored",
+    f"""SELECT vec_id, round_even(score, 2) + 0.0 AS predicted_concentration, 'ElasticNet' AS model_used,
+              CASE WHEN label <> 7 THEN {SQL_BAND.format('score')} END AS confidence,
+              CASE WHEN label = 7 THEN 'Spectrum ' || vec_id || ' has 60 values, expected 64' END AS reason
+        FROM embeddings LEFT JOIN {SQL_STORED_SCORE} USING (vec_id) WHERE vec_id % 5 = 0""",
+)
+def batch_scoring_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit scaler on training rows, store it beside the model, load both, score the other rows."""
+    gaps = F.transform("spectrum", lambda v: F.when(v > 0.4, F.lit(float("nan"))).otherwise(v))
+    dirty = F.when(F.col("label") == 7, F.slice("spectrum", 1, 60)).otherwise(gaps)
+    samples = spectra(spark, sf_dir).select("vec_id", dirty.alias("spectrum"))
+
+    training, _ = cleaning.split_valid(cleaning.validate_length(samples.where("vec_id % 5 > 0"), "vec_id", "spectrum", POINTS))
+    processed, _ = spectral.preprocess(training, "spectrum", AXIS)
+    folder = scratch_dir(spark, "models")
+    models.save_scaler(spark, spectral.fit_scaler(processed, "spectrum"), f"{folder}/scaler")
+    models.save_linear(spark, CHAIN_MODEL, f"{folder}/model")
+
+    scaler, fitted = models.load_scaler(spark, f"{folder}/scaler"), models.load_linear(spark, f"{folder}/model")
+    model = scoring.fold_preprocessing(fitted, AXIS, SpectralSteps(), scaler.means, scaler.divisors)
+    return scoring.batch_scoring(samples.where("vec_id % 5 = 0"), "vec_id", "spectrum", model)
+
+
+@query(
+    "requests_scored",
+    f"""SELECT 'ElasticNet' AS model_used, count(*) FILTER (label <> 7) AS total_spectra, count(*) FILTER (label = 7) AS rejected FROM embeddings""",
+)
+def requests_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies as JSON lines in a shared folder, read, scored and summed up."""
+    values = F.when(F.col("label") == 7, F.slice("spectrum", 1, 60)).otherwise(F.col("spectrum"))
+    folder = scratch_dir(spark, "requests")
+    spectra(spark, sf_dir).select(F.col("vec_id").alias("request_id"), values.alias("spectral_values")).write.json(folder)
+    scored = scoring.batch_scoring(tables.read_requests(spark, folder), "request_id", "spectrum", RAW_MODEL)
+    return scoring.scoring_summary(scored)
+
+
+@query(
+    "prediction_export",
+    f"""SELECT event_id, value, {sql_round('pred_a')} AS pred_a, {sql_round('pred_a - value')} AS residual,
+              {sql_round('abs((pred_a - value) / nullif(value, 0) * 100)')} AS error_pct FROM {SQL_PREDICTIONS}""",
+)
+def prediction_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction table as CSV in a shared folder, read back."""
+    table = predictions(spark, sf_dir).withColumns(evaluation.error_columns("value", "pred_a"))
+    exported = rounded_columns(table.select("event_id", "value", "pred_a", "residual", "error_pct"), "pred_a", "residual", "error_pct")
+    folder = scratch_dir(spark, "export")
+    tables.write_csv(exported, folder)
+    return tables.read_csv(spark, folder, exported.schema)
+
+
+@query(
+    "history_runs",
+    f"""SELECT strftime(ts, '%Y-%m-%d') || ' 00:00:00' AS timestamp, count(*) AS num_spectra,
+              {sql_round('sqrt(avg((pred_a - value) ^ 2))')} AS elasticnet_rmse, {sql_round('sqrt(avg((pred_b - value) ^ 2))')} AS pls_rmse
+        FROM events JOIN (SELECT event_id, pred_a, pred_b FROM {SQL_PREDICTIONS}) USING (event_id) GROUP BY 1""",
+)
+def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended to the stored history in two parts, after what was there has been cleared."""
+    events = tables.read_parquet(spark, sf_dir, "events").withColumns({"pred_a": first_prediction(), "pred_b": second_prediction()})
+    runs = evaluation.run_history(events, F.to_timestamp(F.date_trunc("day", "ts")), "value", {"elasticnet": "pred_a", "pls": "pred_b"})
+    runs = runs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    path = scratch_dir(spark, "history")
+    history.append(runs, path)
+    history.clear(spark, path)
+    early = F.dayofmonth("timestamp") <= 15
+    history.append(runs.where(early), path)
+    history.append(runs.where(~early), path)
+    shown = history.read(spark, path).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return rounded_columns(shown, "elasticnet_rmse", "pls_rmse")
+
+
+SQL_ONE = """(SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)"""
+
+
+@query(
+    "elasticnet_one_feature",
+    f"""SELECT {sql_round('w', 4)} AS coefficient, {sql_round('my - w * mx', 3)} AS intercept
+        FROM (SELECT *, sign(c) * greatest(abs(c) - 20.0 * 0.5, 0) / (v + 20.0 * 0.5) AS w FROM {SQL_ONE})""",
+)
+def elasticnet_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one feature the fit is a soft threshold."""
+    rows = tables.read_parquet(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    model = regression.fit_elasticnet_moments(rows, "x", "y", 20.0, 0.5)
+    return spark.createDataFrame([(model.coefficients[0], model.intercept)], "w double, b double").select(
+        rounded(F.col("w"), 4).alias("coefficient"), rounded(F.col("b"), 3).alias("intercept")
+    )
+
+
+@query(
+    "pls_two_features",
+    f"""SELECT {sql_round('(c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12)', 4)} AS first,
+              {sql_round('(c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12)', 2)} AS second
+        FROM (SELECT covar_pop(l_extendedprice, l_quantity) AS c1, covar_pop(l_extendedprice, l_discount) AS c2, var_pop(l_quantity) AS v1,
+                     var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS v12 FROM lineitem)""",
+)
+def pls_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many components as features: least squares."""
+    rows = tables.read_parquet(spark, sf_dir, "lineitem").select(F.array("l_quantity", "l_discount").alias("x"), F.col("l_extendedprice").alias("y"))
+    first, second = regression.fit_pls(rows, "x", "y", 2).coefficients
+    return spark.createDataFrame([(first, second)], "a double, b double").select(rounded(F.col("a"), 4).alias("first"), rounded(F.col("b"), 2).alias("second"))
+
+
+@query(
+    "cv_one_feature",
+    f"""
+    WITH folded AS (SELECT value AS y, user_id::DOUBLE AS x, ntile(5) OVER (ORDER BY {SQL_HASH}, event_id) AS fold FROM events),
+    fits AS (SELECT h, sign(c) * greatest(abs(c) - 0.05, 0) / (v + 0.05) AS w, mx, my
+             FROM (SELECT h, covar_pop(y, x) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my
+                   FROM folded, (SELECT unnest(range(1, 6)) AS h) WHERE fold <> h GROUP BY h))
+    SELECT h AS fold, {sql_round('1 - sum((y - my - w * (x - mx)) ^ 2) / (var_pop(y) * count(*))')} AS r2
+    FROM folded JOIN fits ON fold = h GROUP BY h""",
+)
+def cv_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold R2 of a penalised fit on one feature."""
+    rows = tables.read_parquet(spark, sf_dir, "events").select("event_id", F.array(F.col("user_id").cast("double")).alias("x"), F.col("value").alias("y"))
+    folded = sampling.assign_folds(rows, "event_id", 5, SEED)
+    scores = regression.cross_validate(folded, "x", "y", "fold", penalties=[(0.1, 0.5)])
+    return scores.select("fold", rounded(F.col("r2")).alias("r2"))

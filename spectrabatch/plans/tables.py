@@ -135,6 +135,44 @@ def spectra_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("wl", *[rounded(F.col(f"s_{k}")).alias(f"s_{k}") for k in BATCH_LABELS])
 
 
+@query(
+    "rows_transposed",
+    f"""SELECT CAST(200.0 + 30.0 * (i - 1) AS DOUBLE) AS wl, {', '.join(f"{sql_round(f'max(v) FILTER (vec_id = {k})')} AS s_{k}" for k in range(10, 20))}
+       FROM (SELECT vec_id, unnest(range(1, {POINTS} + 1)) AS i, unnest(s) AS v FROM {SQL_SPECTRA} WHERE vec_id BETWEEN 10 AND 19)
+       WHERE 200.0 + 30.0 * (i - 1) BETWEEN 350 AND 1000 GROUP BY i""",
+)
+def rows_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of rows by a range of the axis, turned around."""
+    wide = spectral.transpose_rows(spectra(spark, sf_dir), "vec_id", 10, 19, "spectrum", AXIS, 350.0, 1000.0)
+    return wide.select("wl", *[rounded(F.col(c)).alias(c) for c in wide.columns[1:]])
+
+
+@query(
+    "ragged_smoothed",
+    f"""SELECT vec_id, CASE WHEN label <> 7 THEN {sql_round('list_sum([(s[i - 1] + s[i] + s[i + 1]) / 3 FOR i IN range(2, 64)]) + (2 * s[1] + s[2]) / 3 + (s[63] + 2 * s[64]) / 3')} END AS smoothed_sum,
+              CASE WHEN label = 7 THEN 'Spectrum ' || vec_id || ' has 60 values, expected 64' END AS reason
+       FROM {SQL_SPECTRA}""",
+)
+def ragged_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of another length keep a reason; the others are smoothed."""
+    ragged = spectra(spark, sf_dir).select("vec_id", F.when(F.col("label") == 7, F.slice("spectrum", 1, 60)).otherwise(F.col("spectrum")).alias("spectrum"))
+    checked = cleaning.validate_length(ragged, "vec_id", "spectrum", POINTS)
+    usable = checked.withColumn("spectrum", F.when(F.col("reason").isNull(), F.col("spectrum")))
+    smooth = spectral.savgol_smooth(usable, "spectrum", POINTS, 3, 1)
+    return smooth.select("vec_id", rounded(F.aggregate("spectrum", F.lit(0.0), lambda t, v: t + v)).alias("smoothed_sum"), "reason")
+
+
+@query("wide_csv_samples", f"SELECT vec_id, {sql_round('list_sum(s)', 5)} AS total, CAST(len(s) AS BIGINT) AS points FROM {SQL_SPECTRA}")
+def wide_csv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide sample file, read by its header and packed."""
+    path = scratch_dir(spark, "wide-csv")
+    tables.write_csv(wide_spectra(spark, sf_dir), path)
+    wide = tables.read_samples_csv(spark, path)
+    packed, _ = spectral.pack_spectrum(wide, [c for c in wide.columns if c[0].isdigit()])
+    total = F.aggregate("spectrum", F.lit(0.0), lambda t, v: t + v)
+    return packed.select(F.col("vec_id").cast("long").alias("vec_id"), rounded(total, 5).alias("total"), F.size("spectrum").cast("long").alias("points"))
+
+
 @query(
     "pad_truncate",
     f"""SELECT vec_id, CAST(100 AS BIGINT) AS n_padded, {sql_round('list_sum(s)')} AS padded_sum,

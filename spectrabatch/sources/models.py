@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from ..operators.scoring import LinearModel
+from ..operators.spectral import Scaler
+from .tables import table_or_none
 
 SCHEMA = "name string, position int, coefficient double"
+SCALER_SCHEMA = "position int, mean double, divisor double"
 INTERCEPT = -1
 
 
@@ -56,7 +58,17 @@ def load_linear(spark: SparkSession, path: str) -> LinearModel:
 
 def load_optional(spark: SparkSession, path: str) -> LinearModel | None:
     """The second model of a run may be missing; its predictions are NULL then."""
-    try:
-        return load_linear(spark, path)
-    except AnalysisException:
-        return None
+    return None if table_or_none(spark, path, SCHEMA) is None else load_linear(spark, path)
+
+
+def save_scaler(spark: SparkSession, scaler: Scaler, path: str) -> None:
+    """The fitted means and divisors, one row per point, stored beside the model."""
+    rows = [(i, m, d) for i, (m, d) in enumerate(zip(scaler.means, scaler.divisors))]
+    spark.createDataFrame(rows, SCALER_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> Scaler:
+    rows = sorted(spark.read.schema(SCALER_SCHEMA).parquet(path).collect())  # one row per point
+    if [r["position"] for r in rows] != list(range(len(rows))) or not rows:
+        raise NotFittedError(f"no complete scaler in {path}")
+    return Scaler(tuple(r["mean"] for r in rows), tuple(r["divisor"] for r in rows))

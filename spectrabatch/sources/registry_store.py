@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.registry import insert_absent
 from ..session import scratch_dir
+from .tables import staged, table_or_none
 
 SCHEMAS = {
     "models": "model_id long, model_name string, model_type string, description string, created_by string, "
@@ -33,10 +33,7 @@ class Registry:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+        return table_or_none(self.spark, f"{self.folder}/{name}", SCHEMAS[name]) or self.spark.createDataFrame([], SCHEMAS[name])
 
     def register_views(self) -> None:
         """Make the tables available to ``spark.sql``."""
@@ -53,11 +50,9 @@ class Registry:
         The numbered rows are written once to the shared folder and read back,
         so that all four tables see the same ids even if tasks are repeated.
         """
-        staged_at = scratch_dir(self.spark, "registry")
         # An interrupted run may have left versions without a model: their ids stay taken.
-        new = insert_absent(self.table("models"), submissions, self.table("model_versions"))
-        new.withColumn("created_date", F.current_timestamp()).write.parquet(staged_at)
-        staged = self.spark.read.parquet(staged_at)
+        new = insert_absent(self.table("models"), submissions, self.table("model_versions"), lambda df: staged(df, scratch_dir(self.spark, "registry")))
+        numbered = staged(new.withColumn("created_date", F.current_timestamp()), scratch_dir(self.spark, "registry"))
 
         next_id = {
             name: self.table(name).agg(F.coalesce(F.max(key), F.lit(0))).scalar()
@@ -67,7 +62,7 @@ class Registry:
                 ("model_deployments", "deployment_id"),
             )
         }
-        first_model = staged.agg(F.min("model_id")).scalar()
+        first_model = numbered.agg(F.min("model_id")).scalar()
         number = F.col("model_id") - first_model + 1
         metrics = F.col("performance_metrics")
         passed = (
@@ -76,7 +71,7 @@ class Registry:
             & (metrics["mae"] < LIMITS["mae_threshold"])
         )
         result = F.when(passed, "Passed").otherwise("Failed")
-        linked = staged.withColumns(
+        linked = numbered.withColumns(
             {
                 "version_id": next_id["model_versions"] + number,
                 "validation_id": next_id["model_validations"] + number,
@@ -109,7 +104,7 @@ class Registry:
         self._append("model_validations", linked)
         self._append("model_versions", linked)
         self._append("models", linked.withColumn("status", F.lit("Active")))
-        return staged.count()
+        return numbered.count()
 
     def _append(self, name: str, rows: DataFrame) -> None:
         columns = self.spark.createDataFrame([], SCHEMAS[name]).columns

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,22 @@ def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def staged(df: DataFrame, folder: str) -> DataFrame:
+    """The frame written once to a shared folder and read back."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def table_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
+    """The Parquet table, or None if there is nothing at the path; other errors are raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the header; without an inference pass over the data."""
     return spark.read.options(**CSV_OPTIONS).csv(path).columns

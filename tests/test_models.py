@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from spectrabatch.operators import evaluation, registry, regression, scoring
+from spectrabatch.operators import evaluation, registry, regression, scoring, spectral
 from spectrabatch.sources import history, models, registry_store, tables
 from spectrabatch.streaming import scoring as stream
 
@@ -253,6 +253,39 @@ def test_registry_inserts_once(spark, tmp_path):
     assert json.loads(joined[0]["performance_metrics"]) == {"r2_score": 0.9, "rmse": 1.0, "mae": 0.8}
 
 
+def test_repeated_and_missing_names_are_inserted_once(spark, tmp_path):
+    store = registry_store.Registry(spark, str(tmp_path / "registry"))
+    rows = [(7, "B", 0.9, 1.0, 0.8), (3, "B", 0.1, 1.0, 0.8), (4, None, 0.9, 1.0, 0.8), (5, "C", 0.9, 1.0, 0.8), (6, "C", 0.9, 1.0, 0.8)]
+    assert store.register(submission(spark, rows)) == 2
+    assert [(r["model_id"], r["model_name"]) for r in store.table("models").orderBy("model_id").collect()] == [(1, "B"), (2, "C")]
+    assert store.table("model_validations").where("version_id = 1").first()["validation_result"] == "Failed"  # the first submission counts
+
+
+def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
+    assert registry_store.Registry(spark, str(tmp_path / "absent")).table("models").count() == 0
+    (tmp_path / "broken" / "models").mkdir(parents=True)
+    (tmp_path / "broken" / "models" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        registry_store.Registry(spark, str(tmp_path / "broken")).table("models").collect()
+
+
+def test_scaler_persistence(spark, tmp_path):
+    scaler = spectral.Scaler((1.5, -2.0, 0.0), (1.0, 3.0, 0.25))
+    models.save_scaler(spark, scaler, str(tmp_path / "scaler"))
+    assert models.load_scaler(spark, str(tmp_path / "scaler")) == scaler
+    spark.createDataFrame([(1, 0.0, 1.0)], models.SCALER_SCHEMA).write.parquet(str(tmp_path / "part"))
+    with pytest.raises(models.NotFittedError):
+        models.load_scaler(spark, str(tmp_path / "part"))
+
+
+def test_moment_fit_equals_the_library_fit(spark, data):
+    x, y = data
+    df = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(scaled(x), y)], "x array<double>, y double")
+    one, two = regression.fit_elasticnet_moments(df, "x", "y", 0.3, 0.7), regression.as_linear_model(regression.fit_elasticnet(df, "x", "y", 0.3, 0.7))
+    np.testing.assert_allclose(one.coefficients, two.coefficients, atol=1e-5)
+    assert one.intercept == pytest.approx(two.intercept, abs=1e-5)
+
+
 def test_spectra_stream_resumes_without_repeats(spark, tmp_path):
     model = scoring.LinearModel("ElasticNet", (1.0, 2.0), 10.0)
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
