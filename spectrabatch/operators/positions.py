@@ -111,22 +111,52 @@ def with_fold(
     With ``among`` only those rows are divided, the others get NULL.
     """
 
-    def ends(n: int) -> list[int]:
-        small, extra = divmod(n, folds)
-        return [small * f + min(f, extra) for f in range(1, folds)]
-
-    cuts = hash_cuts(df if among is None else df.where(among), key, seed, ends)
-    fold = F.lit(folds)
-    for f, cut in reversed(list(enumerate(cuts, start=1))):
-        if cut is not None:
-            h, k = F.lit(cut[0]), F.lit(cut[1])
-            fold = F.when((F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= k)), f).otherwise(fold)
+    cuts = hash_cuts(df if among is None else df.where(among), key, seed, lambda n: _fold_ends(n, folds))
+    fold = _fold_of(key, cuts)
     if among is not None:
         fold = F.when(among, fold)
     # The hash is a column of its own, since it is compared with every cut.
     return df.withColumn("_h", order_hash(key, seed)).withColumn(name, fold.cast("long")).drop("_h")
 
 
+def with_split_and_fold(
+    df: DataFrame, key: str, seed: int, test: Callable[[int], int], folds: int, names: tuple[str, str] = ("split", "fold")
+) -> DataFrame:
+    """Adds the split (the first ``test(n)`` rows in hash order are the test rows) and the fold of the training rows.
+
+    Both cut the same order, so one search finds all the cuts.
+    """
+
+    def places(n: int) -> list[int]:
+        held_out = test(n)
+        return [held_out, *(held_out + end if end else 0 for end in _fold_ends(n - held_out, folds))]
+
+    first, *cuts = hash_cuts(df, key, seed, places)
+    is_test = F.lit(False) if first is None else _up_to(key, first)
+    fold = F.when(is_test, F.lit(None)).otherwise(_fold_of(key, cuts))
+    hashed = df.withColumn("_h", order_hash(key, seed))
+    return hashed.withColumns({names[0]: F.when(is_test, "test").otherwise("train"), names[1]: fold.cast("long")}).drop("_h")
+
+
+def _fold_ends(n: int, folds: int) -> list[int]:
+    small, extra = divmod(n, folds)
+    return [small * f + min(f, extra) for f in range(1, folds)]
+
+
+def _up_to(key: str, cut: tuple) -> Column:
+    """Whether a row with its hash in ``_h`` does not come after the cut."""
+    h, k = F.lit(cut[0]), F.lit(cut[1])
+    return (F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= k))
+
+
+def _fold_of(key: str, cuts: Sequence[tuple | None]) -> Column:
+    fold = F.lit(len(cuts) + 1)
+    for f, cut in reversed(list(enumerate(cuts, start=1))):
+        if cut is not None:
+            fold = F.when(_up_to(key, cut), f).otherwise(fold)
+    return fold
+
+
 def key_bounds(df: DataFrame, key: str) -> list:
     """Approximate quantiles of a numeric key that cut the rows into cells of about ``CELL_ROWS``.
 
@@ -156,9 +186,13 @@ def key_cell(key: Column, bounds: Sequence) -> Column:
     return F.aggregate(F.lit(steps[::-1]), F.lit(0), advance)
 
 
-def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """1-based position of every row in the order of a unique numeric key."""
-    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key)))
+def with_position(df: DataFrame, key: str, name: str = "position", bounds: Sequence | None = None) -> DataFrame:
+    """1-based position of every row in the order of a unique numeric key.
+
+    ``bounds`` may come from another table with about the same keys, which
+    spares two passes over a costly ``df``; any bounds give right positions.
+    """
+    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key) if bounds is None else bounds))
     starts = _running(celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size")), []).select("_cell", "_before")
     rank = F.row_number().over(W.partitionBy("_cell").orderBy(key))
     joined = celled.join(starts, "_cell")

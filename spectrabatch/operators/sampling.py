@@ -58,13 +58,18 @@ def first_per_group(df: DataFrame, group: str, order: Sequence[str], k: int, sal
     return ranked.where(F.col("_rn") <= k).drop("_rn")
 
 
-def with_strata(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Adds ``bin``: half-open equal-width strata, so the maximum gets ``bins + 1``."""
-    return df.withColumn("bin", numeric.half_open_bin(F.col(column), *value_range(df, column), bins))
+def split_and_folds(df: DataFrame, key: str, test_share: float = 0.2, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``split`` and, for the training rows, ``fold``."""
+    return positions.with_split_and_fold(df, key, seed, lambda n: math.ceil(n * test_share), folds)
 
 
-def _draw(narrow: DataFrame, key: str, column: str, bins: int, k: int, seed: int) -> DataFrame:
-    strata = with_strata(narrow.select(key, column), column, bins).where(F.col("bin") <= bins)
+def with_strata(df: DataFrame, column: str, bins: int = 10, edges: tuple | None = None) -> DataFrame:
+    """Adds ``bin``: half-open equal-width strata between the edges (by default the range), so the maximum gets ``bins + 1``."""
+    return df.withColumn("bin", numeric.half_open_bin(F.col(column), *(edges or value_range(df, column)), bins))
+
+
+def _draw(narrow: DataFrame, key: str, column: str, bins: int, k: int, seed: int, edges: tuple | None = None) -> DataFrame:
+    strata = with_strata(narrow.select(key, column), column, bins, edges).where(F.col("bin") <= bins)
     strata = strata.select(key, "bin", order_hash(key, seed).alias("_h"))
     return first_per_group(strata, "bin", ["_h", key], k, F.col("_h")).select(key, "bin")
 
@@ -83,8 +88,10 @@ def stratified_sample(df: DataFrame, key: str, column: str, bins: int = 10, k: i
     return _rows_of(df, _draw(df, key, column, bins, k, seed), key, bins * k)
 
 
-def _pick_systematic(narrow: DataFrame, key: str, column: str, bins: int, k: int, only: Sequence[int] | None) -> DataFrame:
-    strata = with_strata(narrow.select(key, column), column, bins).where(F.col("bin") <= bins)
+def _pick_systematic(
+    narrow: DataFrame, key: str, column: str, bins: int, k: int, only: Sequence[int] | None, edges: tuple | None = None
+) -> DataFrame:
+    strata = with_strata(narrow.select(key, column), column, bins, edges).where(F.col("bin") <= bins)
     if only is not None:
         strata = strata.where(F.col("bin").isin(list(only)))
     step = F.greatest(F.floor(F.col("_n") / F.lit(k)), F.lit(1)).cast("long")
@@ -130,9 +137,16 @@ OUTER_STRATA = (1, 2, 9, 10)
 
 def stratified_test_set(df: DataFrame, key: str, target: str, low: float, high: float, seed: int = 42) -> DataFrame:
     """Test split, outlier filter (both ends kept), strata picks, top-up."""
+    return stratified_test_set_and_range(df, key, target, low, high, seed)[0]
+
+
+def stratified_test_set_and_range(
+    df: DataFrame, key: str, target: str, low: float, high: float, seed: int = 42
+) -> tuple[DataFrame, tuple]:
+    """The set, and the range of the pool it was drawn from."""
 
-    def pick(held_out: DataFrame) -> DataFrame:
-        return _draw(held_out, key, target, STRATA, PER_STRATUM, seed)
+    def pick(held_out: DataFrame, edges: tuple) -> DataFrame:
+        return _draw(held_out, key, target, STRATA, PER_STRATUM, seed, edges)
 
     return _test_set(df, key, target, F.col(target).between(low, high), pick, seed)
 
@@ -140,15 +154,15 @@ def stratified_test_set(df: DataFrame, key: str, target: str, low: float, high:
 def performance_test_set(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
     """Test split without filter; outer strata systematically, inner ones at random, top-up."""
 
-    def pick(held_out: DataFrame) -> DataFrame:
-        outer = _pick_systematic(held_out, key, target, STRATA, PER_STRATUM, OUTER_STRATA)
-        inner = _draw(held_out, key, target, STRATA, PER_STRATUM, seed)
+    def pick(held_out: DataFrame, edges: tuple) -> DataFrame:
+        outer = _pick_systematic(held_out, key, target, STRATA, PER_STRATUM, OUTER_STRATA, edges)
+        inner = _draw(held_out, key, target, STRATA, PER_STRATUM, seed, edges)
         return outer.unionByName(inner.where(~F.col("bin").isin(list(OUTER_STRATA))))
 
-    return _test_set(df, key, target, F.lit(True), pick, seed)
+    return _test_set(df, key, target, F.lit(True), pick, seed)[0]
 
 
-def _test_set(df: DataFrame, key: str, target: str, keep: Column, pick, seed: int) -> DataFrame:
+def _test_set(df: DataFrame, key: str, target: str, keep: Column, pick, seed: int) -> tuple[DataFrame, tuple]:
     """Key and target alone decide the set; the whole rows are read once, at the end.
 
     The held-out part of these two columns is passed over several times and
@@ -158,9 +172,10 @@ def _test_set(df: DataFrame, key: str, target: str, keep: Column, pick, seed: in
     narrow = df.select(key, target)
     held_out = narrow.where(split_flag(narrow, key, TEST_SHARE, seed)).where(keep).persist()
     try:
-        picked = pick(held_out)
+        edges = value_range(held_out, target)
+        picked = pick(held_out, edges)
         chosen = top_up(picked, held_out, key, TEST_SET_SIZE, STRATA * PER_STRATUM, seed)
         rows = chosen.collect()
     finally:
         held_out.unpersist()
-    return _rows_of(df, df.sparkSession.createDataFrame(rows, chosen.schema), key, TEST_SET_SIZE)
+    return _rows_of(df, df.sparkSession.createDataFrame(rows, chosen.schema), key, TEST_SET_SIZE), edges

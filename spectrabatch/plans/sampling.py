@@ -94,9 +94,8 @@ def performance_test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population of the chosen set in the strata of the pool; empty strata stay visible."""
     low, high = sampling.REALISTIC_RANGE
-    table = targets(spark, sf_dir)
-    pool = table.where(sampling.split_flag(table, "event_id", 0.2, SEED)).where(F.col("value").between(low, high))
-    counts = stats.bin_population(_realistic(spark, sf_dir), "value", *stats.value_range(pool, "value"), 10)
+    chosen, edges = sampling.stratified_test_set_and_range(targets(spark, sf_dir), "event_id", "value", low, high, SEED)
+    counts = stats.bin_population(chosen, "value", *edges, 10)
     return counts.withColumns({c: rounded(F.col(c)) for c in ("bin_low", "bin_high")})
 
 

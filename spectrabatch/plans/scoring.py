@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions.numeric import rounded
 from ..functions.stencils import SpectralSteps
-from ..operators import cleaning, evaluation, positions, regression, sampling, scoring, spectral
+from ..operators import cleaning, evaluation, regression, sampling, scoring, spectral
 from ..operators import statistics as stats
 from ..session import scratch_dir
 from ..sources import history, models, tables
@@ -159,8 +159,7 @@ SQL_SPLIT = f"""(SELECT *, CASE WHEN split = 'train' THEN ntile(5) OVER (PARTITI
 )
 def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training, test and cross-validation metrics side by side."""
-    parts = sampling.train_test_split(predictions(spark, sf_dir), "event_id", 0.2, SEED)
-    parts = positions.with_fold(parts, "event_id", SEED, 5, among=F.col("split") == "train")
+    parts = sampling.split_and_folds(predictions(spark, sf_dir), "event_id", 0.2, 5, SEED)
     result = evaluation.metrics_by_split(parts, "value", "pred_a", "split", "fold")
     return rounded_columns(result, "train", "test", "cv_mean")
 

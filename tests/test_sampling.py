@@ -52,6 +52,16 @@ def test_folds_are_contiguous_and_larger_first(spark, n):
     assert [folded[i] for i in hash_rank(range(n))] == expected
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, 103])
+def test_split_and_folds_in_one_search(spark, n):
+    df = keyed(spark, n)
+    parts = sampling.train_test_split(df, "id", 0.2)
+    two = positions.with_fold(parts, "id", 42, 5, among=F.col("split") == "train")
+    one = sampling.split_and_folds(df, "id", 0.2, 5)
+    take = lambda frame: sorted((r["id"], r["split"], r["fold"]) for r in frame.collect())
+    assert take(one) == take(two)
+
+
 def test_random_sample_both_plans(spark, monkeypatch):
     df = keyed(spark, 500)
     small = {r["id"] for r in sampling.random_sample(df, "id", 40).collect()}
