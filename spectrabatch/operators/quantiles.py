@@ -18,28 +18,50 @@ from pyspark.sql import Window as W
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY  # the sketch errs by at most 1 / ACCURACY of the rows
 SMALL = 20_000  # below this the bracket is the whole column
+RANK_ROWS = 1_000_000  # rows of one bracket that a single task may rank
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Rows ``(variable, share, quantile)`` with linear interpolation; NULL is skipped.
 
-    Three narrow passes: bracket, count below, select inside. The first two
-    give one row each, which becomes literals of the third.
+    Narrow passes: bracket, count below and inside, select inside. The first two
+    give one row each, which becomes literals of the next. A bracket that still
+    holds more than ``RANK_ROWS`` rows is bracketed again within itself, so the
+    rows that meet in one task do not grow with the table.
     """
     pairs = [(i, q) for i in range(len(columns)) for q in range(len(shares))]
     brackets = df.agg(*[_bracket(c, shares).alias(f"b{i}") for i, c in enumerate(columns)]).first()
     low = {(i, q): brackets[f"b{i}"]["low"][q] for i, q in pairs}
     high = {(i, q): brackets[f"b{i}"]["high"][q] for i, q in pairs}
     pairs = [p for p in pairs if low[p] is not None]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "variable string, share double, quantile double")
+    places = {p: float(shares[p[1]] * (brackets[f"b{p[0]}"]["n"] - 1)) for p in pairs}
 
     def name(pair: tuple[int, int]) -> str:
         return f"n_{pair[0]}_{pair[1]}"
 
-    counted = df.agg(F.lit(0).alias("n"), *[F.count_if(F.col(columns[p[0]]) < low[p]).alias(name(p)) for p in pairs])
-    below = counted.first()
+    while True:
+        counts = [
+            count.alias(f"{which}{name(p)}")
+            for p in pairs
+            for which, count in (
+                ("b", F.count_if(F.col(columns[p[0]]) < low[p])),
+                ("i", F.count_if(F.col(columns[p[0]]).between(low[p], high[p]))),
+            )
+        ]
+        found = df.agg(F.lit(0).alias("n"), *counts).first()
+        below = {p: found[f"b{name(p)}"] for p in pairs}
+        wide = [p for p in pairs if found[f"i{name(p)}"] > RANK_ROWS and low[p] < high[p]]
+        if not wide:
+            break
+        tighter = df.agg(*[_narrower(columns[p[0]], low[p], high[p], places[p] - below[p], found[f"i{name(p)}"]).alias(name(p)) for p in wide]).first()
+        ends = {p: tuple(tighter[name(p)]) for p in wide}
+        if all(ends[p] == (low[p], high[p]) for p in wide):
+            break  # one value fills the bracket, or nearly so: few different values are left to rank
+        for p in wide:
+            low[p], high[p] = ends[p]
 
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "variable string, share double, quantile double")
     inside = [(F.col(columns[i]) >= low[i, q]) & (F.col(columns[i]) <= high[i, q]) for i, q in pairs]
     candidates = [F.when(test, F.col(columns[i]).cast("double")).alias(str(k)) for k, (test, (i, _)) in enumerate(zip(inside, pairs))]
     touched = df.where(reduce(operator.or_, inside)).select(*candidates)
@@ -49,8 +71,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     def known(numbers: list) -> Column:
         return F.get(F.lit(numbers), F.col("k"))
 
-    start = known([int(below[name(p)]) for p in pairs])
-    place = known([float(shares[q] * (brackets[f"b{i}"]["n"] - 1)) for i, q in pairs])
+    start = known([int(below[p]) for p in pairs])
+    place = known([places[p] for p in pairs])
     upto = start + F.sum("size").over(W.partitionBy("k").orderBy("v"))
     located = sizes.withColumns({"upto": upto, "place": place})
 
@@ -80,3 +102,11 @@ def _bracket(column: str, shares: Sequence[float]) -> Column:
         F.when(n < SMALL, F.array_repeat(low, parts)).otherwise(F.slice(sketch, 1, parts)).alias("low"),
         F.when(n < SMALL, F.array_repeat(high, parts)).otherwise(F.slice(sketch, parts + 1, parts)).alias("high"),
     )
+
+
+def _narrower(column: str, low: float, high: float, place: float, inside: int) -> Column:
+    """A bracket within [low, high] around the 0-based ``place`` among its ``inside`` rows."""
+    value = F.col(column).cast("double")
+    reach = MARGIN + 2.0 / inside
+    around = [max(place / inside - reach, 0.0), min(place / inside + reach, 1.0)]
+    return F.percentile_approx(F.when(value.between(low, high), value), around, ACCURACY)

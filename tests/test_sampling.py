@@ -157,6 +157,17 @@ def test_exact_quantiles(spark, monkeypatch, small):
         assert value == pytest.approx(pdf[name].quantile(share), rel=1e-12)
 
 
+@pytest.mark.parametrize("rank_rows", [1, 10, 200])
+def test_quantiles_narrow_large_brackets(spark, monkeypatch, rank_rows):
+    """Rounds of ever narrower brackets end at the same numbers, also where one value fills a bracket."""
+    monkeypatch.setattr(quantiles, "SMALL", 10)
+    monkeypatch.setattr(quantiles, "RANK_ROWS", rank_rows)
+    df = spark.range(60_000).selectExpr("double(id * 7919 % 60013) AS a", "double(id % 3) AS b", "IF(id % 5 = 0, NULL, exp(id % 9973 / 900.0)) AS c")
+    pdf = df.toPandas()
+    for r in quantiles.exact_quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.999, 1.0]).collect():
+        assert r["quantile"] == pytest.approx(pdf[r["variable"]].quantile(r["share"]), rel=1e-12)
+
+
 def test_quantiles_of_empty_column(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert quantiles.exact_quantiles(df, ["a"], [0.5]).count() == 0
