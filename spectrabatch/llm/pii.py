@@ -331,8 +331,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     likely = docs.select("text").filter(F.col("text").rlike(r"[0-9]{3}|@|\[at\]|\(at\)"))
     # long texts would crowd the driver: of each sampled text the places around its first signs are kept
     signs = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)(.{0,80}(?:[0-9]{3}|@|\[at\]|\(at\)).{0,120})"), F.lit(1)), 1, 8)
-    order = F.xxhash64("text")
-    rows = likely.withColumn("_order", order).orderBy("_order", F.length("text")).limit(sample).select(F.array_join(signs, " ").alias("near"), "_order").collect()
+    # copies of a text count once, so a large group of them cannot fill the sample
+    places = likely.select(F.xxhash64("text").alias("_order"), F.array_join(signs, " ").alias("near")).dropDuplicates(["_order"])
+    rows = places.orderBy("_order").limit(sample).collect()
     return train([r["near"] for r in sorted(rows, key=lambda r: (r["_order"], r["near"]))])
 
 
