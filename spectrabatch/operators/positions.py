@@ -52,7 +52,10 @@ def hash_cuts(df: DataFrame, key: str, seed: int, places: Callable[[int], Sequen
     while True:
         held = ranked.where(F.substring("_h", 1, digits).isin(cells)) if digits else ranked
         digits += DIGITS
-        counts = held.groupBy(F.substring("_h", 1, digits).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        missing = F.count_if(F.col("_key").isNull()).alias("missing")
+        counts = held.groupBy(F.substring("_h", 1, digits).alias("c")).agg(F.count(F.lit(1)).alias("n"), missing).collect()
+        if any(row["missing"] for row in counts):
+            raise ValueError(f"{key} is missing in some rows, which have no place of their own")
         sizes = sorted((row["c"], row["n"]) for row in counts)
         if not left:
             left = [int(p) for p in places(sum(n for _, n in sizes))]
@@ -163,7 +166,10 @@ def key_bounds(df: DataFrame, key: str) -> list:
     They are fetched once and enter the plan as literals, so every pass over
     the data, also one repeated after a lost executor, cuts the key alike.
     """
-    cells = max(df.count() // CELL_ROWS, MIN_CELLS)
+    rows, missing = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    if missing:
+        raise ValueError(f"{key} is missing in {missing} rows, which have no position")
+    cells = max(rows // CELL_ROWS, MIN_CELLS)
     shares = [i / cells for i in range(1, cells)]
     found = df.agg(F.percentile_approx(key, shares, 10 * cells).alias("b")).first()["b"]
     return sorted(set(found or []))

@@ -164,7 +164,10 @@ def resolve_models(audit: DataFrame, models: DataFrame, versions: DataFrame, val
         F.lit("model_validations"), "validation_id", "model_name"
     )
     lookup = by_model.union(by_version).union(by_validation)
-    resolved = audit.join(lookup, ["table_name", "record_id"], "left")
+    pointing = audit.where(F.col("record_id").isNotNull() & F.col("table_name").isNotNull())
+    others = audit.where(F.col("record_id").isNull() | F.col("table_name").isNull())  # they would share one join key
+    resolved = pointing.join(lookup, ["table_name", "record_id"], "left")
+    resolved = resolved.unionByName(others.withColumn("model_name", F.lit(None).cast("string")))
     return resolved.withColumn("model_name", F.coalesce("model_name", F.lit(NOT_AVAILABLE)))
 
 

@@ -131,7 +131,11 @@ def spectra_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
        GROUP BY i""",
 )
 def spectra_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = spectral.transposed(spectra(spark, sf_dir), "spectrum", AXIS, "label", BATCH_LABELS)
+    table = spectra(spark, sf_dir)
+    present = {r["label"] for r in table.select("label").distinct().limit(len(BATCH_LABELS) + 1).collect()}
+    if not present <= set(BATCH_LABELS):
+        raise ValueError(f"labels beside {BATCH_LABELS}")  # a label must not vanish
+    wide = spectral.transposed(table, "spectrum", AXIS, "label", BATCH_LABELS)
     return wide.select("wl", *[rounded(F.col(f"s_{k}")).alias(f"s_{k}") for k in BATCH_LABELS])
 
 

@@ -62,6 +62,13 @@ def test_split_and_folds_in_one_search(spark, n):
     assert take(one) == take(two)
 
 
+def test_missing_keys_are_refused(spark):
+    df = spark.range(90).selectExpr("IF(id % 3 = 0, NULL, id) AS id", "double(id) AS v")
+    for build in (lambda: sampling.assign_folds(df, "id", 5), lambda: sampling.train_test_split(df, "id"), lambda: positions.with_position(df, "id")):
+        with pytest.raises(ValueError, match="missing"):
+            build()
+
+
 def test_random_sample_both_plans(spark, monkeypatch):
     df = keyed(spark, 500)
     small = {r["id"] for r in sampling.random_sample(df, "id", 40).collect()}
