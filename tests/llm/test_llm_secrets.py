@@ -6,7 +6,7 @@ import re
 import llm_data
 
 from spectrabatch.llm import blob_ledger
-from spectrabatch.session import scratch_dir, ship_package
+from spectrabatch.session import scratch_dir
 
 PATTERNS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
