@@ -40,16 +40,22 @@ def slices(rows: int, per_slice: int) -> int:
     return max(1, math.ceil(math.log2(max(1, rows) / per_slice + 1)))
 
 
-def running_start(df: DataFrame, group: list[str], digest: str, ties: list[str], values: dict[str, str], bits: int) -> DataFrame:
+def slices_of(key: Column, rows: dict, per_slice: int) -> Column:
+    """``slices`` per group, from the groups' row counts (one literal per group)."""
+    entries = [F.lit(x) for group, n in rows.items() for x in (group, slices(n, per_slice))]
+    return F.element_at(F.create_map(*entries), key) if entries else F.lit(1)
+
+
+def running_start(df: DataFrame, group: list[str], digest: str, ties: list[str], values: dict[str, str], bits: Column) -> DataFrame:
     """Adds, for each ``new: value`` pair, the sum of ``value`` over the rows of the group that come before.
 
     Rows are ordered by the unsigned ``digest`` (a well spread 64-bit hash), then
-    by ``ties``. The leading bits of the digest cut every group into slices; one
-    small row per slice carries the sum so far, and only the rows of one slice
-    meet in a window, so no group is ever sorted in one task. ``group`` columns
-    must not be null.
+    by ``ties``. The leading ``bits`` of the digest, as many as the group's size
+    asks for, cut it into slices; one small row per slice carries the sum so far,
+    and only the rows of one slice meet in a window, so no group is ever sorted in
+    one task. ``group`` columns must not be null.
     """
-    sliced = df.withColumn("_slice", F.shiftrightunsigned(digest, 64 - bits))
+    sliced = df.withColumn("_bits", 64 - bits).withColumn("_slice", F.expr(f"shiftrightunsigned({digest}, _bits)")).drop("_bits")
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*group, "_slice").orderBy(digest, *ties).rowsBetween(Window.unboundedPreceding, -1)
     bases = (

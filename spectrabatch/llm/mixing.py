@@ -31,13 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, running_start, slices, stored, text_or_empty
+from .common import WORD, running_start, slices_of, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 65_536
 SHARD_BLOCKS = 256
-SLICE_ROWS = 50_000
+#: Rows of a source ranked in one window of the distributed sums.
+SLICE_ROWS = 4_000
 #: numpy draws from at most this many blocks; larger corpora need larger blocks.
 MOST_BLOCKS = 10**9
 
@@ -111,10 +112,16 @@ def _source_key() -> F.Column:
     return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
 
 
+def _digest() -> F.Column:
+    """The first 64 bits of the MD5 of doc_id and text: an order that other engines can follow."""
+    hashed = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text"))
+    return F.conv(F.substring(hashed, 1, 16), 16, -10).cast("long")
+
+
 def units(docs: DataFrame) -> DataFrame:
     """Rows alike become one unit: doc_id, source_key, digest, size of a row, copies."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    rows = docs.select("doc_id", _source_key().alias("source_key"), F.xxhash64("doc_id", "text").alias("digest"), words.alias("size"))
+    rows = docs.select("doc_id", _source_key().alias("source_key"), _digest().alias("digest"), words.alias("size"))
     return stored(rows.groupBy("doc_id", "source_key", "digest", "size").agg(F.count("*").alias("copies")), "mix-units")
 
 
@@ -134,7 +141,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
     ``epoch``-th pass over its source.
     """
     table = units(docs)
-    totals = {r["source_key"]: r["s"] for r in table.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("s")).collect()}
+    found = table.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("s"), F.count("*").alias("n")).collect()
+    totals, counts = {r["source_key"]: r["s"] for r in found}, {r["source_key"]: r["n"] for r in found}
     sources = sorted(totals)
     sizes = [totals[s] for s in sources]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], limit) if sources else []
@@ -146,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
     number = {s: i for i, s in enumerate(sources)}
 
     weighed = table.withColumn("span", F.col("size") * F.col("copies"))
-    placed = running_start(weighed, ["source_key"], "digest", ["doc_id", "size"], {"start": "span"}, slices(table.count(), SLICE_ROWS))
+    placed = running_start(weighed, ["source_key"], "digest", ["doc_id", "size"], {"start": "span"}, slices_of(F.col("source_key"), counts, SLICE_ROWS))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         goal, size, quota = np.array(owed, np.int64), np.array(sizes, np.int64), np.array(quotas, np.int64)
@@ -225,9 +233,34 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         *[mixed.units[k].alias(f"_{k}") for k in keys], (F.col("words") / F.col("copies")).cast("long").alias("_words"), F.col("size").alias("_size")
     )
     plans = shares.filter("_words > 0").groupBy("_doc_id", "_digest", "_source_key", "_size").agg(F.sort_array(F.collect_list("_words"), asc=False).alias("_take"))  # at most `limit` entries
-    keyed = docs.withColumns({"_d": F.xxhash64("doc_id", "text"), "_s": _source_key()})
+    keyed = docs.withColumns({"_d": _digest(), "_s": _source_key()})
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_d") == F.col("_digest")) & (F.col("_s") == F.col("_source_key"))
     rows = keyed.join(plans.hint("shuffle_hash"), on).withColumn("_n", F.explode("_take"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     kept = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_n").cast("int")), " "))
     return rows.select(*[kept.alias("text") if c == "text" else (F.length(kept).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])
+
+
+# The words taken in DuckDB, for comparison. The levels that cap sources are found
+# at once: with the k sources of the smallest limit per weight at their limits, the
+# others share what is left; the first k that keeps the next one under its limit holds.
+
+
+def taken_sql(weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> str:
+    cycle = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    return rf"""
+    WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+                         substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 16) AS digest FROM documents),
+    sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(weights)} {cycle} END AS w
+                FROM docs GROUP BY source),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY {limit} * s / w, source) AS k, {limit} * s / w AS ratio FROM sources),
+    shared AS (SELECT *, (SELECT sum(s) FROM sources) - coalesce(sum({limit} * s) OVER before, 0) AS left_over,
+                      (SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS open_weight
+               FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT k, left_over, open_weight FROM shared WHERE left_over / open_weight <= ratio ORDER BY k LIMIT 1),
+    goals AS (SELECT o.source, o.s, CASE WHEN o.k < l.k THEN CAST({limit} * o.s AS DOUBLE) ELSE CAST(l.left_over AS DOUBLE) * o.w / l.open_weight END AS target
+              FROM ordered o, level l),
+    placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs)
+    SELECT doc_id, size, s AS source_size, target,
+           CAST({" + ".join(f"greatest(0, least(size, least({limit} * s, floor(target + 0.5)) - {e} * s - start))" for e in range(limit))} AS BIGINT) AS taken
+    FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source"""

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import running_start, slices, stored, text_or_empty
+from .common import running_start, slices, slices_of, stored, text_or_empty
 from .id_files import pack, unpack, width_of
 
 WINDOW = 4096
 UNIT = 64
 DEPTH = 3
 #: Rows ranked in one window of the distributed sums.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,11 +151,10 @@ def pack_documents(docs: DataFrame, vocabulary_file: str, window: int = WINDOW,
     chosen = plan([0] + [counts.get(q, 0) for q in range(1, units)], depth)
     uses, taken, planned = _places(chosen, units, unit)
 
-    bits = slices(rows, SLICE_ROWS)
-    ranked = running_start(lengths, ["q"], "digest", ["uid"], {"rank": "one"}, bits)
+    ranked = running_start(lengths, ["q"], "digest", ["uid"], {"rank": "one"}, slices_of(F.col("q"), counts, SLICE_ROWS))
     fits = F.col("rank") < F.get(F.array(*[F.lit(t).cast("long") for t in taken]), F.col("q"))
     streamed = ranked.select("uid", "n", "digest", "q", "rank", "windows", fits.alias("fits"), F.when(fits, F.col("n") % unit).otherwise(rest).alias("stream"))
-    sums = running_start(streamed, [], "digest", ["uid"], {"first_window": "windows", "at": "stream"}, bits)
+    sums = running_start(streamed, [], "digest", ["uid"], {"first_window": "windows", "at": "stream"}, F.lit(slices(rows, SLICE_ROWS)))
     whole = lengths.agg(F.sum("windows")).first()[0] or 0
     flowing = (streamed.agg(F.sum("stream")).first()[0] or 0) if rows else 0
 

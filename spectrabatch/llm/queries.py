@@ -44,7 +44,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
 
 
-@query("op9_mixing")
+@query("op9_mixing", mixing.taken_sql())
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
