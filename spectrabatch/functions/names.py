@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,20 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def file_stem(kind: Column) -> Column:
+    """A model kind as the first part of a file name: lower case, blanks as underscores."""
+    return F.replace(F.lower(kind), F.lit(" "), F.lit("_"))
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    return F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
+
+
+def last_part(path: Column, mark: str) -> Column:
+    """What follows the last mark, or the whole text."""
+    return F.substring_index(path, mark, -1)
+
+
 def plain_name(name: str) -> str:
     """Lower-case identifier for use in SQL, e.g. ``time_h`` for ``Time (h)``."""
     cleaned = re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_")

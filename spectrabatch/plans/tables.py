@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions import names as naming
 from ..functions.numeric import rounded
 from ..operators import cleaning, schema, spectral
 from ..session import scratch_dir
@@ -52,6 +53,27 @@ def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.overview(wide_spectra(spark, sf_dir), target="label")
 
 
+@query("schema_contract", "SELECT l_tax, l_quantity, l_returnflag FROM lineitem")
+def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns a model expects, in its order."""
+    return schema.require_columns(lineitem(spark, sf_dir), ["l_tax", "l_quantity", "l_returnflag"])
+
+
+@query(
+    "text_parts",
+    """SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS stem,
+              CASE WHEN starts_with(p_brand, 'Brand#') THEN substr(p_brand, 7) ELSE p_brand END AS brand,
+              string_split(p_name, ' ')[-1] AS noun FROM part""",
+)
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text functions of file names and labels as columns."""
+    part = tables.read_parquet(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey", naming.file_stem(F.col("p_name")).alias("stem"),
+        naming.without_prefix(F.col("p_brand"), "Brand#").alias("brand"), naming.last_part(F.col("p_name"), " ").alias("noun"),
+    )
+
+
 @query(
     "split_blocks",
     "SELECT l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem",
