@@ -9,8 +9,10 @@ from collections import Counter
 import llm_data
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectrabatch.llm import host_reputation, merkle, mixing, pii, quality
+from spectrabatch.llm.common import first_by_hash
 from spectrabatch.session import ship_package
 
 # --- personal data ---
@@ -84,6 +86,21 @@ def test_all_documents_are_scanned_and_base_spans_stay(spark):
     assert pii.fit(empty) is None and pii.scan(empty, None).count() == 0
 
 
+@pytest.mark.parametrize("count", [100, 2500, 9000])
+def test_a_bounded_draw_takes_the_first_by_hash(spark, count):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    expected = sorted((r["h"] & (1 << 64) - 1) >> 1 for r in rows.collect())[:count]
+    assert sorted((r["h"] & (1 << 64) - 1) >> 1 for r in first_by_hash(rows, "h", count, "id").collect()) == expected
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    ship_package(spark)
+    rng = random.Random(8)
+    data = [(i, personal(rng, 7) if i == 0 else None, None, None, None) for i in range(1)] * 900
+    data += [(1000 + i, personal(rng, i), None, None, None) for i in range(120)]
+    assert pii.fit(llm_data.documents(spark, data), sample=200) is not None
+
+
 # --- Merkle trees ---
 
 
