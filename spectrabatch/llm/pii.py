@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import first_by_hash, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -332,8 +332,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # long texts would crowd the driver: of each sampled text the places around its first signs are kept
     signs = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)(.{0,80}(?:[0-9]{3}|@|\[at\]|\(at\)).{0,120})"), F.lit(1)), 1, 8)
     # copies of a text count once, so a large group of them cannot fill the sample
-    places = likely.select(F.xxhash64("text").alias("_order"), F.array_join(signs, " ").alias("near")).dropDuplicates(["_order"])
-    rows = places.orderBy("_order").limit(sample).collect()
+    hashed = likely.withColumn("_order", F.xxhash64("text"))
+    drawn = first_by_hash(hashed.select("_order").distinct(), "_order", sample).collect()
+    chosen = docs.sparkSession.createDataFrame(drawn, "_order long")  # at most `sample` numbers
+    places = hashed.join(F.broadcast(chosen), "_order").select("_order", F.array_join(signs, " ").alias("near"))
+    rows = places.groupBy("_order").agg(F.min("near").alias("near")).collect()
     return train([r["near"] for r in sorted(rows, key=lambda r: (r["_order"], r["near"]))])
 
 
