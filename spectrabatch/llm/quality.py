@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import first_by_hash
+
 BUCKETS = 1024
 #: Counts besides the buckets: words, and words equal to the one before.
 EXTRA = 2
@@ -109,8 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     once = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id")
     # a doc_id in the sample need not occur in the documents; those that do are drawn first
-    present = docs.select("doc_id").distinct().join(once, "doc_id")
-    drawn = [r for value in (0, 1) for r in present.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_label).collect()]
+    present = docs.select("doc_id").distinct().join(once, "doc_id").withColumn("_order", order)
+    drawn = [r for value in (0, 1) for r in first_by_hash(present.filter(F.col("label") == value), "_order", per_label, "doc_id").collect()]
     if not drawn:
         return Space(np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 1)), np.zeros((0, 1)), np.zeros(0))
     sample = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"]) for r in drawn], "doc_id long, label int"))  # at most 2 x per_label rows
