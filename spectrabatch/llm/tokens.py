@@ -4,7 +4,8 @@ The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Most
 that call's time goes into cutting the text and into words seen before. For texts
 in Latin-1 the cut is known in advance, so here a pattern cuts the text, every new
 piece is encoded once by the tokenizer's own model, and its ids are kept. Any
-other text goes through the tokenizer as a whole.
+other text, and any that holds the content of an added token such as
+``<|endoftext|>``, goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the tokenizer takes these out of a text before it cuts the rest
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         name = os.path.basename(path)
         self.cut = re.compile(CUTS[name]).findall if name in CUTS else None
         self.lower = name in LOWER
@@ -77,7 +79,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.cut is None:
+        if self.cut is None or any(content in text for content in self.added):
             return self.whole(text)
         try:
             text.encode("latin-1")

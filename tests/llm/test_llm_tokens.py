@@ -9,6 +9,7 @@ import llm_data
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from spectrabatch.llm import id_files, packing
 from spectrabatch.llm.tokens import Encoder
@@ -30,6 +31,15 @@ def test_pieces_give_the_tokenizers_ids(path):
     assert [t for t in odd if encode(t) != encode.whole(t)] == []
 
 
+@pytest.mark.parametrize("path, added", [(BYTE, {50256}), (WORD, {49406, 49407})])
+def test_added_tokens_have_the_ids_of_an_unaltered_tokenizer(path, added):
+    plain, encode = Tokenizer.from_file(path), Encoder(path)
+    odd = ["end <|endoftext|> start", "<|endoftext|>", "a<|endoftext|><|endoftext|>b é", "<|startoftext|>word <|endoftext|>", "日本 <|endoftext|> <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "none"]
+    got = [list(array("I", encode(t))) for t in odd]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+    assert added <= {i for ids in got for i in ids}
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 25, 32])
 def test_bits_round_trip(width):
     rng = np.random.default_rng(width)
