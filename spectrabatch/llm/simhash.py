@@ -155,8 +155,8 @@ def components(links: DataFrame) -> DataFrame:
     return mapping
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, key_limit: int = KEY_LIMIT) -> DataFrame:
-    """Per row of the documents: doc_id, digest, fp and component_id, the smallest doc_id reachable over links."""
+def _families(docs: DataFrame, shingle: int, distance: int, blocks: int = BLOCKS, key_limit: int = KEY_LIMIT) -> DataFrame:
+    """Per row of the documents: doc_id, digest, fp, root, a fingerprint that names the component, and component_id."""
     marked = stored(fingerprints(docs, shingle), "simhash-docs")
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
     roots = components(near_pairs(prints.select("fp"), distance, blocks, key_limit))
@@ -164,19 +164,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rooted = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = stored(rooted, "simhash-roots")
     labels = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = stored(linked.join(labels, "root").select("fp", "component_id"), "simhash-labels")
-    return marked.join(by_print, "fp").select("doc_id", "digest", "fp", "component_id")
+    by_print = stored(linked.join(labels, "root").select("fp", "root", "component_id"), "simhash-labels")
+    return marked.join(by_print, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, key_limit: int = KEY_LIMIT) -> DataFrame:
+    """Per row of the documents: doc_id, digest, fp and component_id, the smallest doc_id reachable over links."""
+    return _families(docs, shingle, distance, blocks, key_limit).drop("root")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of every component, the one with the smallest doc_id, with all columns.
+    """One document of every component, with all columns.
 
-    Rows alike in doc_id and text stay once, the first by their other columns;
-    different texts under one doc_id that stays all stay, since the id does not
-    tell them apart. A row without a doc_id stays only if its component has none.
+    The smallest doc_id stays, a null one only if there is no other; under one
+    doc_id the text with the smallest digest; and of rows alike in both the first
+    by their other columns. Doc_ids don't name components: one may stand in several.
     """
-    marked = near_duplicates(docs, shingle, distance)
-    first = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    alike = _families(docs, shingle, distance).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    least = alike.groupBy("root").agg(F.min_by(F.struct("doc_id", "digest", "rows"), order).alias("least"))
+    first = least.select(F.col("least.doc_id").alias("_first"), F.col("least.digest").alias("_digest"), F.col("least.rows").alias("_rows"))
     same = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_digest"))
     kept = docs.join(stored(first, "simhash-first").hint("shuffle_hash"), same)
     single = kept.filter("_rows = 1").select(*docs.columns)

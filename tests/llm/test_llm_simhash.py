@@ -91,6 +91,15 @@ def test_one_document_of_each_component_stays(spark):
     assert kept_ids == least
 
 
+def test_one_row_stays_where_doc_ids_do_not_tell_rows_apart(spark):
+    ship_package(spark)
+    first, second, third = (llm_data.prose(random.Random(i), 60) for i in (11, 12, 13))
+    texts = [(5, first), (5, first + " "), (5, second), (9, first), (None, third), (None, third + " "), (None, third), (None, second)]
+    docs = llm_data.documents(spark, [(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(texts)])
+    kept = sorted(((r["doc_id"], r["text"].strip()) for r in simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(5, first), (5, second), (None, third)], key=str)
+
+
 def test_empty_table(spark):
     ship_package(spark)
     assert simhash.near_duplicates(llm_data.empty(spark)).count() == 0
