@@ -72,6 +72,10 @@ FURTHER = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = (*BASE, *FURTHER)
+#: What may stand between a key's first and last line: base64, header fields with a few single hyphens, written line ends.
+KEY_BODY = r"[A-Za-z0-9+/=:,\\\s]*+(?:-[A-Za-z0-9+/=:,\\\s]++){0,8}"
+#: For masking, a private key reaches to its END line; reports give its first line, as their SQL does.
+MASKED = tuple(Rule(r.kind, rf"{r.pattern}(?:{KEY_BODY}-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?", version=2) if r.kind == "private_key" else r for r in RULES)
 
 
 def _quoted(pattern: str) -> str:
@@ -157,7 +161,7 @@ def report(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
     return found.withColumns({**counts, "base_sha256": F.sha2(listed(of_base), 256), "spans": listed(every)}).drop("findings", "blob")
 
 
-def redact(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> DataFrame:
+def redact(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...] = MASKED, mask: str = MASK) -> DataFrame:
     """All rows and columns, with every finding in ``text`` replaced by the mask."""
     found = scan(rows, path, ledger, rules)
     hits = stored(found.filter("findings is not null").select("blob", "findings").dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "blob-redact")

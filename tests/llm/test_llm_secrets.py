@@ -1,7 +1,9 @@
 """The blob ledger against Python's patterns, and what it scans."""
 
 import hashlib
+import random
 import re
+import string
 
 import llm_data
 
@@ -71,6 +73,24 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert again.filter("spans <> ''").count() == 0
 
 
+def test_redaction_masks_whole_private_keys(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(25)] + ["Zm9v=="]
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    texts = {
+        "\n".join(["before", first, *lines, last, "after"]): "before\n[secret]\nafter",
+        "\r\n".join(["é", first, fields + lines[0], last, "x", first, lines[1], last]): "é\r\n[secret]\r\nx\r\n[secret]",
+        'key: "' + "\\n".join([first, *lines, last]) + '" end': 'key: "[secret]" end',
+        "A file opens with " + first + ". Prose goes on": "A file opens with [secret]. Prose goes on",
+        "\n".join([first, *lines * 2000, last]): "[secret]",
+        first * 3000: "[secret]" * 3000,
+    }
+    docs = llm_data.documents(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    clean = blob_ledger.redact(docs, ["doc_id"], scratch_dir(spark, "test-ledger")).collect()
+    assert {r["doc_id"]: r["text"] for r in clean} == dict(enumerate(texts.values()))
+
+
 def test_empty_table(spark):
     empty = llm_data.empty(spark)
     assert blob_ledger.scan(empty, ["doc_id"], scratch_dir(spark, "test-ledger")).count() == 0
