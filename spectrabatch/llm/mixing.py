@@ -8,7 +8,10 @@ quotas of all sources are split between the two halves by a draw from the
 multivariate hypergeometric distribution, so every shard gets an exact number of
 blocks, the shards of a split are as different as random ones, and all quotas
 come out exactly. A keyed permutation of a source's blocks deals disjoint blocks
-to the leaves, and a shard orders its pieces by a hash of its own.
+to the leaves, and a shard orders its pieces by a hash of its own. The draw
+decides where words go, not which: of every stream the mix takes the first words
+up to the target, as the SQL does. ``mixed_documents`` writes its rows in the
+draw's order; ``taken_words`` counts, so the draw doesn't show in it.
 
 A node's draw depends on the seed, the quotas and the node alone. A task walks
 only the nodes its blocks pass through, so there is no table of shards, reruns
@@ -39,6 +42,8 @@ BLOCK_WORDS = 65_536
 SHARD_BLOCKS = 256
 #: Rows of a source ranked in one window of the distributed sums.
 SLICE_ROWS = 4_000
+#: Leading bits of ``place`` that cut a shard into tasks.
+PLACE_BITS = 3
 #: numpy draws from at most this many blocks; larger corpora need larger blocks.
 MOST_BLOCKS = 10**9
 
@@ -132,6 +137,7 @@ class Mix:
     sizes: list[int]
     targets: list[float]
     pieces: DataFrame  # doc_id, source_key, digest, epoch, first_word, words, shard, place
+    shards: int
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 9, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> Mix:
@@ -193,7 +199,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
         cut, "doc_id long, source_key string, digest long, epoch int, first_word long, words long, shard long"
     )
     place = F.xxhash64(F.lit(seed), "shard", "digest", "epoch", "first_word")
-    return Mix(table, sources, sizes, wanted, pieces.withColumn("place", place))
+    return Mix(table, sources, sizes, wanted, pieces.withColumn("place", place), tree.shards)
 
 
 def _by_source(mixed: Mix, values: list, kind: str) -> F.Column:
@@ -225,20 +231,33 @@ def taken_words(mixed: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix: one row per document and pass, whole or cut after the words that fit the target."""
+    """The documents of the mix: one row per document and pass, whole or cut after the words that fit the target.
+
+    Partitions follow each other by shard and, within a shard, by ``place``, and
+    rows are sorted by it. A document goes where its first piece of the pass goes;
+    copies of a row, which share their pieces, each go to a shard by a hash.
+    """
     mixed = mix(docs, **settings)
     keys = ["doc_id", "digest", "source_key"]
-    passes = mixed.pieces.groupBy(*keys, "epoch").agg(F.sum("words").alias("words"))
+    passes = mixed.pieces.groupBy(*keys, "epoch").agg(F.sum("words").alias("words"), F.min_by(F.struct("shard", "place"), "first_word").alias("at"))
     shares = mixed.units.join(passes, [mixed.units[k].eqNullSafe(passes[k]) for k in keys]).select(
-        *[mixed.units[k].alias(f"_{k}") for k in keys], (F.col("words") / F.col("copies")).cast("long").alias("_words"), F.col("size").alias("_size")
+        *[mixed.units[k].alias(f"_{k}") for k in keys],
+        F.struct((F.col("words") / F.col("copies")).cast("long").alias("words"), "at.shard", "at.place").alias("_share"),
+        F.col("size").alias("_size"),
+        F.col("copies").alias("_copies"),
     )
-    plans = shares.filter("_words > 0").groupBy("_doc_id", "_digest", "_source_key", "_size").agg(F.sort_array(F.collect_list("_words"), asc=False).alias("_take"))  # at most `limit` entries
-    keyed = docs.withColumns({"_d": _digest(), "_s": _source_key()})
+    plans = shares.filter("_share.words > 0").groupBy("_doc_id", "_digest", "_source_key", "_size", "_copies").agg(F.sort_array(F.collect_list("_share"), asc=False).alias("_take"))  # at most `limit` entries
+    keyed = docs.withColumns({"_d": _digest(), "_s": _source_key(), "_row": F.monotonically_increasing_id()})
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_d") == F.col("_digest")) & (F.col("_s") == F.col("_source_key"))
-    rows = keyed.join(plans.hint("shuffle_hash"), on).withColumn("_n", F.explode("_take"))
+    rows = keyed.join(plans.hint("shuffle_hash"), on).withColumn("_t", F.explode("_take")).withColumn("_n", F.col("_t.words"))
+    place = F.when(F.col("_copies") > 1, F.xxhash64("_t.place", "_row")).otherwise(F.col("_t.place"))
+    shard = F.when(F.col("_copies") > 1, F.pmod(F.xxhash64("_row", "_t.place"), F.lit(mixed.shards))).otherwise(F.col("_t.shard"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     kept = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_n").cast("int")), " "))
-    return rows.select(*[kept.alias("text") if c == "text" else (F.length(kept).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])
+    cut = [kept.alias("text") if c == "text" else (F.length(kept).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns]
+    part = (F.col("_part") * 2**PLACE_BITS + F.shiftrightunsigned("_place", 64 - PLACE_BITS)).cast("int")
+    dealt = rows.select(*cut, shard.alias("_part"), place.alias("_place")).repartitionById(mixed.shards * 2**PLACE_BITS, part)
+    return dealt.sortWithinPartitions("_place").select(*docs.columns)
 
 
 # The words taken in DuckDB, for comparison. The levels that cap sources are found

@@ -290,6 +290,19 @@ def test_mixed_documents_carry_what_was_taken(spark):
     assert {d: n for d, n in whole.items() if n} == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_documents_follow_the_draw(spark):
+    ship_package(spark)
+    data = [r for r in llm_data.rows() if r[0] is not None]
+    data = [r for r in data if data.count(r) == 1]
+    settings = {"block_words": 50, "shard_blocks": 3}
+    got = [r["doc_id"] for r in mixing.mixed_documents(llm_data.documents(spark, data), **settings).collect()]
+    first = {}
+    for p in sorted(mixing.mix(llm_data.documents(spark, data), **settings).pieces.collect(), key=lambda p: p["first_word"]):
+        first.setdefault((p["doc_id"], p["epoch"]), (p["shard"], p["place"] % 2**64))
+    assert len({shard for shard, _ in first.values()}) > 10
+    assert got == [doc for (doc, _), _ in sorted(first.items(), key=lambda f: f[1])]
+
+
 def test_nothing_to_mix(spark):
     assert mixing.taken_words(mixing.mix(llm_data.empty(spark))).count() == 0
     assert mixing.mixed_documents(llm_data.empty(spark)).count() == 0
