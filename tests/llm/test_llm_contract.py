@@ -27,6 +27,7 @@ CONTRACT = {
     8: "doc_id n_assign n_access n_hex base_sha256 spans",
     9: "doc_id size source_size target taken",
     10: "doc_id held_out score predicted",
+    11: "doc_id n_bytes n_tokens over_limit",
 }
 
 
