@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import bit_sliced, blob_ledger, filter_audit, host_reputation, id_files, merkle, mixing, packing, pii, quality, simhash, token_counts
+from . import bit_sliced, blob_ledger, filter_audit, host_reputation, id_files, merkle, mixing, packing, pii, quality, simhash, source_divergence, token_counts
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_filter_audit", filter_audit.audit_sql())
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_source_divergence", source_divergence.divergence_sql())
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))

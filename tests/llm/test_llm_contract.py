@@ -29,6 +29,7 @@ CONTRACT = {
     10: "doc_id held_out score predicted",
     11: "doc_id n_bytes n_tokens over_limit",
     12: "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    13: "lang source part item value rank",
 }
 
 
