@@ -58,6 +58,13 @@ def test_long_runs_are_linear(run):
     pii.base_spans(text), pii.candidates(text)
 
 
+def test_number_parts_of_any_length_are_read():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"a {zeros}.1.1.1 b") == [("ip", 2, 5008)]
+    assert pii.base_spans(f"a {zeros}255.{zeros}.1.1 b {zeros}256.1.1.1") == [("ip", 2, 2 + 5003 + 1 + 5000 + 4)]
+    assert pii.base_spans("9" * 1_000_000 + ".1.1.1") == []
+
+
 def test_trees_learn_and_the_threshold_holds():
     rng = random.Random(4)
     model = pii.train([personal(rng, i) for i in range(300)])
