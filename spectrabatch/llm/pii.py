@@ -97,7 +97,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The exact detectors, by kind as listed, then by start."""
     found = [("email", a, b) for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p := p.lstrip("0")) <= 3 and int(p or "0") <= 255 for p in m[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in m[0].split("."))):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = _digits(m[0])
