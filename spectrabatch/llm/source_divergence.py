@@ -3,7 +3,7 @@
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Only
 terms in at least ``least`` documents of their language count, and most different
 terms are rarer than that. They are found without ever counting all terms: level by
-level, at prefixes of 2, 4, 8, 16, ... bytes, the distinct documents of each prefix
+level, at prefixes of 4, 8, 16, ... bytes, the distinct documents of each prefix
 are counted, and prefixes below ``least`` are discarded with every term under them.
 A term no longer than the level is complete and its count is its own; longer ones go
 on under their prefix if it stays. The refinement ends when no open prefix is left,
@@ -16,7 +16,8 @@ exact counts.
 
 Each document is cut into terms once and written as its different terms with
 counts; a document is one row, so distinct documents per prefix need no shuffle of
-their own. Tasks add up counts per prefix before Spark does. A group with a third of
+their own. Each pass codes a batch's terms once and counts by arrays; tasks add up
+before Spark does. A group with a third of
 all rows is spread over tasks like any other rows, since every sum has partial
 results. With the kept terms, the counts per source give p, and both parts follow:
 
@@ -34,13 +35,14 @@ its language has no pairs. Empty tables give no rows. Other columns are ignored.
 from __future__ import annotations
 
 from array import array
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,16 +54,10 @@ LEAST = 10
 #: Ranks of part ``term``.
 RANKS = 10
 #: Bytes of the first level's prefixes; each level doubles them.
-FIRST_LEVEL = 2
+FIRST_LEVEL = 4
 BITMAP_BITS = 1 << 26
 #: Bits that Spark's bitmap functions put in one bitmap.
 BUCKET_BITS = 1 << 15
-#: Terms of a language a task remembers; beyond it new ones are worked out every time.
-KEPT_ENTRIES = 200_000
-#: Languages whose terms a task remembers at a time.
-KEPT_LANGS = 8
-#: Terms a task reads before it passes its sums on.
-PASSED_TERMS = 1_000_000
 #: (term, source) cells of a block, cells of its dense part, and pairs of a band.
 BLOCK_CELLS, DENSE_CELLS, BAND_PAIRS = 1 << 17, 1 << 21, 1 << 20
 SCALE = 1_000_000_000
@@ -71,7 +67,7 @@ HASH_SEED = 42
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
-TERMS = "lang string, source string, terms binary, counts binary"
+TERMS = "lang string, source string, terms string, counts binary"
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
@@ -85,7 +81,7 @@ def term_rows(docs: DataFrame) -> DataFrame:
                 different = sorted(found)
                 terms.append(b" ".join(different))
                 counts.append(array("I", map(found.__getitem__, different)).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["lang", "source", "terms", "counts"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.binary())], ["lang", "source", "terms", "counts"])
 
     return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text_or_empty().alias("text")).mapInArrow(rows, TERMS)
 
@@ -119,73 +115,69 @@ def _holds(bits: bytes, lang: str) -> Callable[[bytes], bool]:
     return test
 
 
-class _Remembered(dict):
-    """A function's results, up to ``KEPT_ENTRIES`` of them."""
+def _all_hold(bits: bytes, lang: str, keys: pa.Array) -> np.ndarray:
+    """For each of a column of keys, with repeats, whether the bitmap has it."""
+    coded = keys.dictionary_encode()
+    holds = _holds(bits, lang)
+    return np.fromiter(map(holds, coded.dictionary.to_pylist()), bool, len(coded.dictionary))[coded.indices.to_numpy()]
 
-    def __init__(self, function: Callable):
-        self.function = function
 
-    def __missing__(self, key):
-        value = self.function(key)
-        if len(self) < KEPT_ENTRIES:
-            self[key] = value
-        return value
-
-
-def _prefix_at(level: int, before: int, alive: Callable[[bytes], bool] | None) -> Callable[[bytes], bytes | None]:
-    """The prefix a term counts under at a level; None if it is complete or discarded already."""
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    langs = batch.column("lang").dictionary_encode()
+    codes = langs.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(langs.dictionary) + 1))
+    for code, lang in enumerate(langs.dictionary.to_pylist()):
+        yield lang, batch.take(pa.array(order[ends[code] : ends[code + 1]]))
 
-    def prefix(term: bytes) -> bytes | None:
-        if len(term) <= before or alive is not None and not alive(term[:before]):
-            return None
-        # a space, which no term has, marks a prefix that goes on
-        return term if len(term) <= level else term[:level] + b" "
 
-    return prefix
+def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where each row's terms start, and all terms, coded."""
+    lists = pc.split_pattern(rows.column("terms"), " ")
+    return lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.flatten().cast(pa.binary()).dictionary_encode()
 
 
 def _level_counts(rows: DataFrame, level: int, before: int, bits) -> DataFrame:
-    """lang, prefix and partial numbers of documents, from the terms that are still open."""
+    """lang, prefix, whether it goes on, and partial numbers of documents, from the terms that are still open.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes: dict[str, _Remembered] = {}
-        sums: dict[str, Counter] = defaultdict(Counter)
-
-        def passed_on() -> pa.RecordBatch:
-            found = [(lang, prefix, n) for lang, counter in sums.items() for prefix, n in counter.items()]
-            sums.clear()
-            langs, keys, numbers = zip(*found) if found else ((), (), ())
-            return pa.record_batch([pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], ["lang", "prefix", "docs"])
+    A row's terms are in byte order, so those with one prefix are neighbours and the
+    first of them counts the document.
+    """
 
-        added = 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(prefixes) > KEPT_LANGS:
-                prefixes.clear()
-            for lang, terms in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if lang not in prefixes:
-                    prefixes[lang] = _Remembered(_prefix_at(level, before, _holds(bits.value, lang) if bits else None))
-                found = set(map(prefixes[lang].__getitem__, terms.as_py().split(b" ")))
-                found.discard(None)
-                sums[lang].update(found)
-                added += len(found)
-                if added > PASSED_TERMS:
-                    yield passed_on()
-                    added = 0
-        yield passed_on()
-
-    return rows.filter(F.octet_length("terms") > 0).select("lang", "terms").mapInArrow(counted, "lang string, prefix binary, docs long")
+            for lang, mine in _by_lang(batch):
+                starts, terms = _flat(mine)
+                length = pc.binary_length(terms.dictionary).to_numpy()
+                prefixes = pc.binary_slice(terms.dictionary, 0, level).dictionary_encode()
+                key = prefixes.indices.to_numpy() * 2 + (length > level)
+                still = length > before
+                if bits:
+                    still &= _all_hold(bits.value, lang, pc.binary_slice(terms.dictionary, 0, before))
+                codes = terms.indices.to_numpy()
+                keys = key[codes]
+                first = np.append(True, keys[1:] != keys[:-1])
+                first[starts] = True
+                docs = np.bincount(keys[first & still[codes]], minlength=1)
+                found = np.flatnonzero(docs)
+                yield pa.record_batch(
+                    [pa.array([lang] * len(found), pa.string()), prefixes.dictionary.take(pa.array(found // 2)), pa.array(found % 2 == 1), pa.array(docs[found].astype(np.int64))],
+                    ["lang", "prefix", "open", "docs"],
+                )
+
+    return rows.filter("terms <> ''").select("lang", "terms").mapInArrow(counted, "lang string, prefix binary, open boolean, docs long")
 
 
 def kept_terms(spark: SparkSession, rows: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, term (bytes) and docs of all terms in at least ``least`` documents of their language."""
     level, before, bits, found = FIRST_LEVEL, 0, None, []
     while True:
-        counted = _level_counts(rows, level, before, bits).groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
-        counted = stored(counted.withColumn("open", F.expr("substring(prefix, -1, 1) = x'20'")), "divergence-level")
+        counted = _level_counts(rows, level, before, bits).groupBy("lang", "prefix", "open").agg(F.sum("docs").alias("docs"))
+        counted = stored(counted.filter(F.col("docs") >= least), "divergence-level")
         if bits:
             bits.unpersist()
-        found.append(counted.filter(~F.col("open")).select("lang", F.col("prefix").alias("term"), "docs"))
-        alive = _bits(counted.filter("open").select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("prefix")), "prefix")
+        found.append(counted.filter("not open").select("lang", F.col("prefix").alias("term"), "docs"))
+        alive = _bits(counted.filter("open"), "prefix")
         if alive is None:
             return reduce(DataFrame.unionByName, found)
         before, level, bits = level, level * 2, spark.sparkContext.broadcast(alive)
@@ -199,36 +191,31 @@ def term_counts(spark: SparkSession, rows: DataFrame, kept: DataFrame) -> DataFr
     bits = spark.sparkContext.broadcast(kept_bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Remembered] = {}
-        sums: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def passed_on() -> pa.RecordBatch:
-            found = [(*group, term, n) for group, counter in sums.items() for term, n in counter.items()]
-            sums.clear()
-            langs, sources, terms, numbers = zip(*found) if found else ((), (), (), ())
-            return pa.record_batch(
-                [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()), pa.array(numbers, pa.int64())],
-                ["lang", "source", "term", "n"],
-            )
-
-        added = 0
         for batch in batches:
-            if len(known) > KEPT_LANGS:
-                known.clear()
-            for lang, source, terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if lang not in known:
-                    known[lang] = _Remembered(_holds(bits.value, lang))
-                holds, total = known[lang], sums[lang, source]
-                for term, n in zip(terms.as_py().split(b" "), array("I", counts.as_py())):
-                    if holds[term]:
-                        total[term] += n
-                        added += 1
-                if added > PASSED_TERMS:
-                    yield passed_on()
-                    added = 0
-        yield passed_on()
-
-    partial = rows.filter(F.octet_length("terms") > 0).mapInArrow(counted, "lang string, source string, term binary, n long")
+            for lang, mine in _by_lang(batch):
+                starts, terms = _flat(mine)
+                sources = mine.column("source").dictionary_encode()
+                codes = terms.indices.to_numpy().astype(np.int64)
+                source = np.repeat(sources.indices.to_numpy().astype(np.int64), np.diff(np.append(starts, len(codes))))
+                numbers = np.frombuffer(b"".join(mine.column("counts").to_pylist()), np.uint32).astype(np.int64)
+                holds = _all_hold(bits.value, lang, terms.dictionary)[codes]
+                width = len(terms.dictionary)
+                keys = (source * width + codes)[holds]
+                order = np.argsort(keys, kind="stable")
+                keys, numbers = keys[order], numbers[holds][order]
+                firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.array([], np.int64)
+                found = keys[firsts]
+                yield pa.record_batch(
+                    [
+                        pa.array([lang] * len(found), pa.string()),
+                        sources.dictionary.take(pa.array(found // width)),
+                        terms.dictionary.take(pa.array(found % width)),
+                        pa.array(np.add.reduceat(numbers, firsts) if len(firsts) else numbers),
+                    ],
+                    ["lang", "source", "term", "n"],
+                )
+
+    partial = rows.filter("terms <> ''").mapInArrow(counted, "lang string, source string, term binary, n long")
     summed = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return summed.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
 
