@@ -7,7 +7,7 @@ size of the feature matrix (features x features), whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +88,19 @@ def centre_of(df: DataFrame, features: str, label: str) -> Centre:
     Feature arrays of different lengths, missing or infinite numbers, and more
     than ``MAX_FEATURES`` columns raise an error before any matrix is built.
     """
+    width, mean_y = checked(df, features, label)
+    if width > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features; the fits of wide_regression hold no matrix of all features")
+    rows = _narrow(df, features, label, None)
+    means = rows.select(F.posexplode_outer("x").alias("i", "v")).where("i is not null").groupBy("i").agg(F.avg("v").alias("m")).collect()
+    x = np.zeros(width)
+    for r in means:
+        x[r["i"]] = r["m"]
+    return Centre(width, x, mean_y)
+
+
+def checked(df: DataFrame, features: str, label: str) -> tuple[int, float]:
+    """Width of the feature arrays and mean of the label, after the checks of :func:`centre_of` that need no width limit."""
     rows = _narrow(df, features, label, None)
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.isnan("y") | (F.abs("y") == float("inf"))
     facts = rows.agg(
@@ -98,33 +111,32 @@ def centre_of(df: DataFrame, features: str, label: str) -> Centre:
         raise ValueError("no rows to fit")
     if facts["low"] != facts["high"]:
         raise ValueError(f"feature arrays of {facts['low']} to {facts['high']} numbers")
-    if facts["high"] > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
     if facts["bad"]:
         raise ValueError(f"{facts['bad']} rows with missing or infinite numbers; fill them first")
-    means = rows.select(F.posexplode_outer("x").alias("i", "v")).where("i is not null").groupBy("i").agg(F.avg("v").alias("m")).collect()
-    x = np.zeros(facts["high"])
-    for r in means:
-        x[r["i"]] = r["m"]
-    return Centre(facts["high"], x, facts["y"])
+    return facts["high"], facts["y"]
 
 
-def cross_products(df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None) -> DataFrame:
+def cross_products(
+    df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None, columns: Sequence[int] | None = None
+) -> DataFrame:
     """Rows ``(fold, i, products)`` of the matrix of ``[1, features, label]``, summed over the samples.
 
     Every input task multiplies Arrow batches into one matrix per fold and emits
     its rows; Spark adds them up in two levels, so no reducer meets the rows of
     all tasks. With ``centre`` its means are taken off first, which keeps the
-    precision that subtracting large sums afterwards would lose.
+    precision that subtracting large sums afterwards would lose. ``columns`` takes
+    only these features.
     """
     offsets = None if centre is None else (centre.x, centre.y)
-    partial = _narrow(df, features, label, fold).mapInArrow(lambda batches: _partial_products(batches, offsets), "part long, fold long, i long, products array<double>")
+    partial = _narrow(df, features, label, fold).mapInArrow(lambda batches: _partial_products(batches, offsets, columns), "part long, fold long, i long, products array<double>")
     total = Summarizer.sum(array_to_vector("products")).alias("v")
     first = partial.groupBy("part", "fold", "i").agg(total).select("fold", "i", vector_to_array("v").alias("products"))
     return first.groupBy("fold", "i").agg(total).select("fold", "i", vector_to_array("v").alias("products"))
 
 
-def _partial_products(batches: Iterable[pa.RecordBatch], offsets: tuple | None = None) -> Iterator[pa.RecordBatch]:
+def _partial_products(
+    batches: Iterable[pa.RecordBatch], offsets: tuple | None = None, columns: Sequence[int] | None = None
+) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     width = None
     for batch in batches:
@@ -141,6 +153,8 @@ def _partial_products(batches: Iterable[pa.RecordBatch], offsets: tuple | None =
         x = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
         if offsets is not None:
             x, y = x - offsets[0], y - offsets[1]
+        if columns is not None:
+            x = x[:, columns]
         for f in np.unique(fold):
             rows = fold == f
             block = np.column_stack([np.ones(int(rows.sum())), x[rows], y[rows]])
@@ -159,12 +173,12 @@ def _partial_products(batches: Iterable[pa.RecordBatch], offsets: tuple | None =
 
 
 def products_by_fold(
-    df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None
+    df: DataFrame, features: str, label: str, fold: str | None = None, centre: Centre | None = None, columns: Sequence[int] | None = None
 ) -> dict[int, np.ndarray]:
     """The summed matrices on the driver: ``folds x (features + 2)^2`` numbers; the width is checked first."""
     if centre is None:
         centre_of(df, features, label)
-    table = cross_products(df, features, label, fold, centre).orderBy("fold", "i").toArrow()
+    table = cross_products(df, features, label, fold, centre, columns).orderBy("fold", "i").toArrow()
     matrices = {}
     for f in table["fold"].unique().to_pylist():
         rows = table.filter(pc.equal(table["fold"], f))["products"].combine_chunks()
@@ -211,25 +225,31 @@ def pls_coefficients(products: np.ndarray, components: int) -> list[tuple[np.nda
     xx = m.xx / np.outer(spread_x, spread_x)
     xy = m.xy / (spread_x * spread_y)
 
+    fitted = []
+    for slope in latent_slopes(xy, lambda rotation: xx @ rotation, components):
+        coefficients = slope * spread_y / spread_x
+        fitted.append((coefficients, float(m.mean_y - m.mean_x @ coefficients)))
+    return fitted
+
+
+def latent_slopes(xy: np.ndarray, image_of: Callable[[np.ndarray], np.ndarray], components: int) -> Iterator[np.ndarray]:
+    """Slopes of scaled data for 1..components latent variables; ``image_of(v)`` is X'(X v), asked for once per component."""
     start = np.linalg.norm(xy)
     rotations, loadings = [], []
     slope = np.zeros_like(xy)
-    fitted = []
     for _ in range(components):
         length = np.linalg.norm(xy)
         if length > 1e-12 * max(start, 1e-300):
             direction = xy / length
             rotation = direction - sum((p @ direction) * r for p, r in zip(loadings, rotations))
-            image = xx @ rotation
+            image = image_of(rotation)
             variance = rotation @ image
             loading, gain = image / variance, (rotation @ xy) / variance
             xy = xy - loading * (gain * variance)
             rotations.append(rotation)
             loadings.append(loading)
             slope = slope + rotation * gain
-        coefficients = slope * spread_y / spread_x
-        fitted.append((coefficients, float(m.mean_y - m.mean_x @ coefficients)))
-    return fitted
+        yield slope
 
 
 def elasticnet_coefficients(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions.numeric import rounded
 from ..functions.stencils import SpectralSteps
-from ..operators import cleaning, evaluation, regression, sampling, scoring, spectral
+from ..operators import cleaning, evaluation, regression, sampling, scoring, spectral, wide_regression
 from ..operators import statistics as stats
 from ..session import scratch_dir
 from ..sources import history, models, tables
@@ -520,3 +520,43 @@ def cv_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = sampling.assign_folds(rows, "event_id", 5, SEED)
     scores = regression.cross_validate(folded, "x", "y", "fold", penalties=[(0.1, 0.5)])
     return scores.select("fold", rounded(F.col("r2")).alias("r2"))
+
+
+@query(
+    "pls_wide_two_components",
+    f"""
+    WITH f AS MATERIALIZED (
+        SELECT vec_id, i, (v - avg(v) OVER p) / stddev_samp(v) OVER p AS x, (y - avg(y) OVER p) / stddev_samp(y) OVER p AS y
+        FROM (SELECT vec_id, label::DOUBLE AS y, unnest(range(1, {POINTS + 1})) AS i, unnest(s) AS v FROM {SQL_SPECTRA})
+        WINDOW p AS (PARTITION BY i)),
+    w1 AS MATERIALIZED (SELECT i, sum(x * y) AS w FROM f GROUP BY i),
+    t1 AS MATERIALIZED (SELECT vec_id, sum(x * w) AS t, max(y) AS y FROM f JOIN w1 USING (i) GROUP BY vec_id),
+    q1 AS MATERIALIZED (SELECT sum(t * y) / sum(t * t) AS q, sum(t * t) AS tt FROM t1),
+    p1 AS MATERIALIZED (SELECT i, sum(x * t) / max(tt) AS p FROM f JOIN t1 USING (vec_id), q1 GROUP BY i),
+    g AS MATERIALIZED (
+        SELECT vec_id, i, x - t * p AS x, f.y - t * q AS y FROM f JOIN t1 USING (vec_id) JOIN p1 USING (i), q1),
+    w2 AS MATERIALIZED (SELECT i, sum(x * y) AS w FROM g GROUP BY i),
+    t2 AS MATERIALIZED (SELECT vec_id, sum(x * w) AS t, max(y) AS y FROM g JOIN w2 USING (i) GROUP BY vec_id),
+    q2 AS (SELECT sum(t * y) / sum(t * t) AS q FROM t2),
+    l AS (SELECT avg(label) AS my, stddev_samp(label) AS sy FROM embeddings)
+    SELECT vec_id, {sql_round('my + sy * (t1.t * q1.q + t2.t * q2.q)')} AS predicted
+    FROM t1 JOIN t2 USING (vec_id), q1, q2, l""",
+)
+def pls_wide_two_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the fit that holds no matrix of all features."""
+    table = spectra(spark, sf_dir).select("vec_id", "spectrum", F.col("label").cast("double").alias("target"))
+    model = wide_regression.fit_pls(table, "spectrum", "target", 2)
+    return scoring.linear_score(table, "spectrum", model).select("vec_id", rounded(F.col("prediction")).alias("predicted"))
+
+
+@query(
+    "elasticnet_wide_one_feature",
+    f"""SELECT {sql_round('w', 4)} AS coefficient, {sql_round('my - w * mx', 3)} AS intercept
+        FROM (SELECT *, sign(c) * greatest(abs(c) - 20.0 * 0.5, 0) / (v + 20.0 * 0.5) AS w FROM {SQL_ONE})""",
+)
+def elasticnet_wide_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read_parquet(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    model = wide_regression.fit_elasticnet(rows, "x", "y", 20.0, 0.5)
+    return spark.createDataFrame([(model.coefficients[0], model.intercept)], "w double, b double").select(
+        rounded(F.col("w"), 4).alias("coefficient"), rounded(F.col("b"), 3).alias("intercept")
+    )
