@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric
-from .quantiles import exact_quantiles
+from . import profiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -28,33 +29,44 @@ def per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFra
     return wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
 
 
+def _with_ends(shares: Sequence[float]) -> dict:
+    """Measures that bracket the quantiles of a column within the same scan as its other facts."""
+    value = lambda c: c.cast("double")
+    return {
+        "nan": lambda c: F.count_if(F.isnan(value(c))),
+        "ends": lambda c: profiles.bracket_column(
+            F.kll_sketch_agg_double(value(c), F.lit(profiles.SKETCH_SIZE)), shares, F.count(c) - F.count_if(F.isnan(value(c)))
+        ),
+    }
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample deviation, minimum, exact quartiles and maximum of every column."""
+    """count, mean, sample deviation, minimum, exact quartiles and maximum of every column, from two scans."""
     basic = per_column(
         df,
         columns,
-        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
-    )
-    quartiles = exact_quantiles(df, columns, QUARTILES).groupBy("variable").agg(
-        *[
-            F.max(F.when(F.col("share") == share, F.col("quantile"))).alias(f"p{int(share * 100)}")
-            for share in QUARTILES
-        ]
+        {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, **_with_ends(QUARTILES)},
     )
-    return basic.join(quartiles, "variable", "left")
+    facts = basic.collect()  # one row per column
+    found = profiles.quantiles(df, facts, QUARTILES)
+    names = [f"p{int(share * 100)}" for share in QUARTILES]
+    rows = [
+        (f["variable"], f["n"], f["mean"], f["std"], f["min"], f["max"], *[found.get((f["variable"], share)) for share in QUARTILES])
+        for f in facts
+    ]
+    shown = basic.schema
+    kept = [T.StructField("count" if name == "n" else name, shown[name].dataType) for name in ("variable", "n", "mean", "std", "min", "max")]
+    return df.sparkSession.createDataFrame(rows, T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in names]]))
 
 
 def target_overview(df: DataFrame, target: str) -> DataFrame:
-    """One row: count, min, max, mean, sample deviation and exact median."""
-    median = exact_quantiles(df, [target], [0.5]).agg(F.max("quantile")).scalar()  # one row, one reference
-    basic = df.agg(
-        F.count(target).alias("n"),
-        F.min(target).alias("min"),
-        F.max(target).alias("max"),
-        F.avg(target).alias("mean"),
-        F.stddev_samp(target).alias("std"),
-    )
-    return basic.withColumn("median", median)
+    """One row: count, min, max, mean, sample deviation and exact median, from two scans."""
+    basic = per_column(df, [target], {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, **_with_ends([0.5])})
+    fact = basic.first()
+    median = profiles.quantiles(df, [fact], [0.5]).get((target, 0.5))
+    names = ["n", "min", "max", "mean", "std"]
+    schema = T.StructType([T.StructField(name, basic.schema[name].dataType) for name in names] + [T.StructField("median", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(*[fact[name] for name in names], median)], schema)
 
 
 def batch_stats(df: DataFrame, batch: str, target: str, time: str) -> DataFrame:
@@ -102,9 +114,12 @@ def value_range(df: DataFrame, column: str) -> tuple[float | None, float | None]
     return value_ranges(df, [column])[0]
 
 
-def histogram(df: DataFrame, column: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
-    """Counts per equal-width bin over the range of the whole column; the last bin is closed."""
-    number = numeric.closed_bin(F.col(column), *value_range(df, column), bins)
+def histogram(df: DataFrame, column: str, bins: int, groups: Sequence[str] = (), known: tuple | None = None) -> DataFrame:
+    """Counts per equal-width bin over the range of the whole column; the last bin is closed.
+
+    A range that is ``known``, for instance from a profile store, saves a scan.
+    """
+    number = numeric.closed_bin(F.col(column), *(known or value_range(df, column)), bins)
     return df.where(F.col(column).isNotNull()).groupBy(*groups, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

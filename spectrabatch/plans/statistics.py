@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import sampling, schema
+from ..operators import profiles, sampling, schema
 from ..operators import statistics as stats
-from .base import PROCESS, SQL_SAMPLES, lineitem, query, samples, sql_round, targets
+from ..session import scratch_dir
+from .base import ORACLES, PROCESS, SQL_SAMPLES, lineitem, query, samples, sql_round, targets
 
 
 def rounded_columns(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -169,3 +170,29 @@ def rename_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     original = targets(spark, sf_dir).toDF("Sample (no)", BATCH, TARGET)
     return schema.rename_all(original, plain_names(original.columns))
+
+
+def profiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, profiles.ProfileStore]:
+    """The sample table and a store that got it year by year, the first year twice."""
+    rows = lineitem(spark, sf_dir)
+    store = profiles.ProfileStore(spark, scratch_dir(spark, "profiles"))
+    years = [("early", "l_shipdate < '1995-01-01'"), ("late", "l_shipdate >= '1995-01-01'"), ("unknown", "l_shipdate is null")]
+    for part, test in [*years, years[0]]:
+        store.add(rows.where(test), PROCESS, part)
+    return rows, store
+
+
+@query("describe_from_profiles", ORACLES["describe_variables"])
+def describe_from_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, store = profiled(spark, sf_dir)
+    return rounded_columns(store.describe(rows), "mean", "std", "p25", "p50", "p75")
+
+
+@query(
+    "histogram_from_profiles",
+    f"""SELECT {sql_closed_bin('l_extendedprice', 'lo', 'hi', 30)} AS bin, count(*) AS n
+       FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY ALL""",
+)
+def histogram_from_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, store = profiled(spark, sf_dir)
+    return stats.histogram(rows, "l_extendedprice", 30, known=store.value_range("l_extendedprice"))
