@@ -25,10 +25,13 @@ def staged(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def table_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
-    """The Parquet table, or None if there is nothing at the path; other errors are raised."""
+def table_or_none(spark: SparkSession, path: str, schema: T.StructType | str, nested: bool = False) -> DataFrame | None:
+    """The Parquet table, or None if there is nothing at the path; other errors are raised.
+
+    ``nested`` takes the files of all folders below the path as one table.
+    """
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", nested).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
