@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, with_all_columns
 
 SPAN = "array<struct<kind:string,no:int,start:int,end:int>>"
 LEDGER = f"blob binary, scanned array<string>, findings {SPAN}"
@@ -72,10 +72,10 @@ FURTHER = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = (*BASE, *FURTHER)
-#: What may stand between a key's first and last line: base64, header fields with a few single hyphens, written line ends.
-KEY_BODY = r"[A-Za-z0-9+/=:,\\\s]*+(?:-[A-Za-z0-9+/=:,\\\s]++){0,8}"
+#: What may stand between a key's first and last line: base64, header fields, written line ends, and hyphens that start neither line.
+KEY_BODY = r"[A-Za-z0-9+/=:,\\\s]*+(?:-(?!----(?:BEGIN|END))[A-Za-z0-9+/=:,\\\s]*+)*+"
 #: For masking, a private key reaches to its END line; reports give its first line, as their SQL does.
-MASKED = tuple(Rule(r.kind, rf"{r.pattern}(?:{KEY_BODY}-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?", version=2) if r.kind == "private_key" else r for r in RULES)
+MASKED = tuple(Rule(r.kind, rf"{r.pattern}(?:{KEY_BODY}-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?", version=3) if r.kind == "private_key" else r for r in RULES)
 
 
 def _quoted(pattern: str) -> str:
@@ -161,8 +161,15 @@ def report(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
     return found.withColumns({**counts, "base_sha256": F.sha2(listed(of_base), 256), "spans": listed(every)}).drop("findings", "blob")
 
 
-def redact(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...] = MASKED, mask: str = MASK) -> DataFrame:
-    """All rows and columns, with every finding in ``text`` replaced by the mask."""
+def redact(docs: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...] = MASKED, mask: str = MASK) -> DataFrame:
+    """All rows and columns, with every finding in ``text`` replaced by the mask.
+
+    ``path`` names columns of documents.
+    """
+    return with_all_columns(docs, lambda rows: _redacted(rows, path, ledger, rules, mask))
+
+
+def _redacted(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...], mask: str) -> DataFrame:
     found = scan(rows, path, ledger, rules)
     hits = stored(found.filter("findings is not null").select("blob", "findings").dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "blob-redact")
     joined = rows.withColumn("_key", F.unhex(F.sha2(text_or_empty(), 256))).join(hits.hint("shuffle_hash"), F.col("_key") == F.col("_blob"), "left")

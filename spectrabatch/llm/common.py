@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,3 +79,18 @@ def first_by_hash(df: DataFrame, digest: str, count: int, *ties: str) -> DataFra
     if rows > 2 * count:
         df = df.filter(place < int(2**63 * 2 * count / rows))
     return df.orderBy(place, *ties).limit(count)
+
+
+def with_all_columns(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator`` on rows of documents, with every other column of theirs kept as it is.
+
+    Columns that are not those of ``documents`` travel inside one struct, so that
+    none can clash with a name the operator uses for itself.
+    """
+    others = [c for c in docs.columns if c not in DOCUMENT_COLUMNS]
+    if not others:
+        return operator(docs)
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    own = [c for c in docs.columns if c in DOCUMENT_COLUMNS]
+    done = operator(docs.select(*own, F.struct(*[F.col(quoted[c]) for c in others]).alias("other_columns")))
+    return done.select(*[F.col(c) if c in own else F.col(f"other_columns.{quoted[c]}").alias(c) for c in docs.columns])

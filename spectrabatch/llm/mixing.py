@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, running_start, slices_of, stored, text_or_empty
+from .common import WORD, running_start, slices_of, stored, text_or_empty, with_all_columns
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -237,6 +237,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     rows are sorted by it. A document goes where its first piece of the pass goes;
     copies of a row, which share their pieces, each go to a shard by a hash.
     """
+    return with_all_columns(docs, lambda rows: _mixed_rows(rows, settings))
+
+
+def _mixed_rows(docs: DataFrame, settings: dict) -> DataFrame:
     mixed = mix(docs, **settings)
     keys = ["doc_id", "digest", "source_key"]
     passes = mixed.pieces.groupBy(*keys, "epoch").agg(F.sum("words").alias("words"), F.min_by(F.struct("shard", "place"), "first_word").alias("at"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_all_columns
 
 SEED = 42
 BITS = 64
@@ -180,6 +180,10 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     doc_id the text with the smallest digest; and of rows alike in both the first
     by their other columns. Doc_ids don't name components: one may stand in several.
     """
+    return with_all_columns(docs, lambda rows: _first_rows(rows, shingle, distance))
+
+
+def _first_rows(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     alike = _families(docs, shingle, distance).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("rows"))
     least = alike.groupBy("root").agg(F.min_by(F.struct("doc_id", "digest", "rows"), order).alias("least"))

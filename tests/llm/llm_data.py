@@ -5,7 +5,10 @@ import random
 from pyspark.sql import types as T
 
 #: Names the operators use inside, as extra columns of the input.
-EXTRA = "score start stop fp size key words label rank blob n uid part digest root node component_id shard findings q one windows spans".split()
+EXTRA = (
+    "score start stop fp size key words label rank blob n uid part digest root node component_id shard findings q one windows spans "
+    "_key _blob _findings _row _n _d _s _t _take _size _copies _share _part _place _first _digest _rows _slice _bits other_columns"
+).split()
 
 SCHEMA = T.StructType(
     [
@@ -39,7 +42,7 @@ def rows(seed: int = 5, count: int = 40):
 def documents(spark, data=None, extra: bool = True):
     data = rows() if data is None else data
     schema = SCHEMA if extra else T.StructType(SCHEMA.fields[:5])
-    return spark.createDataFrame([(*r, *(["1"] * len(EXTRA) if extra else [])) for r in data], schema).repartition(3)
+    return spark.createDataFrame([(*r, *(EXTRA if extra else [])) for r in data], schema).repartition(3)
 
 
 def empty(spark):

@@ -85,6 +85,8 @@ def test_redaction_masks_whole_private_keys(spark):
         "A file opens with " + first + ". Prose goes on": "A file opens with [secret]. Prose goes on",
         "\n".join([first, *lines * 2000, last]): "[secret]",
         first * 3000: "[secret]" * 3000,
+        "\n".join([first, *(f"X-Field-{i}: a-b--c" for i in range(40)), "", *lines, last, "end"]): "[secret]\nend",
+        "\n".join([first, "a-b-" * 50_000, last]): "[secret]",
     }
     docs = llm_data.documents(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
     clean = blob_ledger.redact(docs, ["doc_id"], scratch_dir(spark, "test-ledger")).collect()
