@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import positions
+from . import positions, rank_index
 
 # Acceptance limits and limits of the leakage warnings.
 R2_MIN = 0.7
@@ -33,8 +33,8 @@ def error_columns(actual: str, predicted: str) -> dict[str, Column]:
 def prediction_table(actual: DataFrame, predicted: DataFrame, key: str, y: str, y_hat: str) -> DataFrame:
     """Numbered table of actual, predicted and errors; the sides meet by sample key."""
     joined = actual.select(key, y).join(predicted.select(key, y_hat), key)
-    bounds = positions.key_bounds(actual.select(key), key)
-    return positions.with_position(joined, key, "sample", bounds).withColumns(error_columns(y, y_hat))
+    index = rank_index.build(actual.select(key), key)
+    return positions.with_position(joined, key, "sample", index).withColumns(error_columns(y, y_hat))
 
 
 def metrics(actual: Column, predicted: Column) -> dict[str, Column]:

@@ -1,8 +1,8 @@
 """Exact positions in a global order without a single-partition window.
 
 The order is cut into cells that every row can name on its own: the leading
-digits of a hash, or the interval of a numeric key. Counting rows per cell
-gives the position at which each cell starts; only rows of cells that hold a
+digits of a hash, or those of a numeric key (``rank_index``). Counting rows per
+cell gives the position at which each cell starts; only rows of cells that hold a
 wanted position are ever ranked. Keys have to be unique; copies of one key
 stay together, so a split never puts copies on both sides.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import order_hash
+from . import rank_index
+from .rank_index import RankIndex
 
 DIGITS = 3  # hexadecimal digits per round: 4,096 cells
 MAX_DIGITS = 28  # beyond these, rows with equal digits are copies of one key
@@ -160,51 +162,25 @@ def _fold_of(key: str, cuts: Sequence[tuple | None]) -> Column:
     return fold
 
 
-def key_bounds(df: DataFrame, key: str) -> list:
-    """Approximate quantiles of a numeric key that cut the rows into cells of about ``CELL_ROWS``.
+def with_position(df: DataFrame, key: str, name: str = "position", index: RankIndex | None = None) -> DataFrame:
+    """1-based position of every row in the order of a unique key.
 
-    They are fetched once and enter the plan as literals, so every pass over
-    the data, also one repeated after a lost executor, cuts the key alike.
+    ``index`` may come from another table with at least these keys, which spares
+    the passes over a costly ``df``: only the rows per cell are counted again.
     """
-    rows, missing = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
-    if missing:
-        raise ValueError(f"{key} is missing in {missing} rows, which have no position")
-    cells = max(rows // CELL_ROWS, MIN_CELLS)
-    shares = [i / cells for i in range(1, cells)]
-    found = df.agg(F.percentile_approx(key, shares, 10 * cells).alias("b")).first()["b"]
-    return sorted(set(found or []))
-
-
-def key_cell(key: Column, bounds: Sequence) -> Column:
-    """Number of bounds that are not above the key, by binary search in a literal array."""
-    table = F.lit(list(bounds)) if bounds else F.array().cast("array<long>")
-    step, steps = 1, []
-    while step <= len(bounds):
-        steps.append(step)
-        step *= 2
-    if not steps:
-        return F.lit(0)
-
-    def advance(low: Column, width: Column) -> Column:
-        fits = F.coalesce(F.get(table, low + width - 1) <= key, F.lit(False))
-        return F.when(fits, low + width).otherwise(low)
-
-    return F.aggregate(F.lit(steps[::-1]), F.lit(0), advance)
-
-
-def with_position(df: DataFrame, key: str, name: str = "position", bounds: Sequence | None = None) -> DataFrame:
-    """1-based position of every row in the order of a unique numeric key.
-
-    ``bounds`` may come from another table with about the same keys, which
-    spares two passes over a costly ``df``; any bounds give right positions.
-    """
-    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key) if bounds is None else bounds))
+    if index is None:
+        return _index(df, key).with_position(df, name)
+    celled = index.with_start(df, "_cell")
     starts = _running(celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size")), []).select("_cell", "_before")
     rank = F.row_number().over(W.partitionBy("_cell").orderBy(key))
     joined = celled.join(starts, "_cell")
     return joined.withColumn(name, F.col("_before") + rank).drop("_cell", "_before")
 
 
+def _index(df: DataFrame, key: str) -> RankIndex:
+    return rank_index.build(df.select(key), key, cell_rows=CELL_ROWS, min_cells=MIN_CELLS)
+
+
 def every_nth_row(df: DataFrame, group: str, key: str, step: Column, count: int) -> DataFrame:
     """Rows 1, 1 + step, 1 + 2 step, ... of their group in key order, at most ``count`` of them.
 
@@ -212,7 +188,7 @@ def every_nth_row(df: DataFrame, group: str, key: str, step: Column, count: int)
     into cells, so no task ranks it whole; which cells hold a wanted row follows
     from the rows before them. Adds ``_pos``.
     """
-    celled = df.withColumn("_cell", key_cell(F.col(key), key_bounds(df, key)))
+    celled = _index(df, key).with_start(df, "_cell")
     sizes = _running(celled.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_size")), [group]).withColumn("_step", step)
     first = F.ceil(F.col("_before") / F.col("_step"))
     hit = sizes.where((first * F.col("_step") < F.col("_before") + F.col("_size")) & (first < count))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import process_columns, quoted, spectral_columns
-from .positions import with_position
+from . import rank_index
 
 SHORT_HEAD = 10_000
 
@@ -83,12 +83,12 @@ def row_slice(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     """Rows ``start`` (0-based, included) to ``stop`` (excluded) in key order.
 
     A short head is kept in a heap per task. A deep slice would send ``stop``
-    rows to one task, so rows are numbered in parallel instead. Both need a
-    unique numeric key; any other type is refused whatever the range.
+    rows to one task; there the rank index names the cells that hold the slice,
+    and only their rows are numbered. Both need a unique numeric key; any other
+    type is refused whatever the range.
     """
     if not isinstance(df.schema[key].dataType, T.NumericType):
         raise TypeError(f"{key} is no numeric key")
     if stop <= SHORT_HEAD:
         return df.orderBy(key).offset(start).limit(stop - start)
-    numbered = with_position(df, key, "_position")
-    return numbered.where(F.col("_position").between(start + 1, stop)).drop("_position")
+    return rank_index.build(df.select(key), key).slice(df, start, stop)

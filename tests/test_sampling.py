@@ -92,13 +92,6 @@ def test_positions_are_complete(spark, monkeypatch):
     assert positions.with_position(df.limit(0), "id").count() == 0
 
 
-def test_key_cells_match_sorted_search(spark):
-    bounds = [1, 5, 6, 20, 100]
-    df = spark.range(0, 130)
-    got = {r["id"]: r["c"] for r in df.select("id", positions.key_cell(F.col("id"), bounds).alias("c")).collect()}
-    assert all(got[i] == np.searchsorted(bounds, i, side="right") for i in range(130))
-
-
 def test_systematic_sample_of_a_hot_stratum(spark, monkeypatch):
     """A third and more of all rows in one stratum: positions equal a plain ranking."""
     monkeypatch.setattr(positions, "CELL_ROWS", 50)
