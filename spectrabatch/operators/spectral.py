@@ -242,6 +242,6 @@ def transpose_rows(df: DataFrame, key: str, first: int, last: int, spectrum: str
     rows = df.where(F.col(key).between(first, last))
     keys = [r[key] for r in rows.select(key).limit(TRANSPOSED_ROWS + 1).collect()]
     if len(keys) > TRANSPOSED_ROWS or len(set(keys)) < len(keys):
-        raise ValueError("a transpose needs unique keys, at most " + str(TRANSPOSED_ROWS))
+        raise ValueError(f"a transpose to columns needs unique keys, at most {TRANSPOSED_ROWS}; tiles.tiled takes any number")
     cut, cut_axis = range_cut(rows, spectrum, axis, low, high)
     return transposed(cut, spectrum, cut_axis, key, sorted(keys))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions import names as naming
 from ..functions.numeric import rounded
-from ..operators import cleaning, schema, spectral
+from ..operators import cleaning, schema, spectral, tiles
 from ..session import scratch_dir
 from ..sources import tables
 from .base import (
@@ -173,6 +173,39 @@ def rows_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("wl", *[rounded(F.col(c)).alias(c) for c in wide.columns[1:]])
 
 
+# Each piece by its length, ends and two sums, the second one weighted by place.
+@query(
+    "tiles_transposed",
+    f"""SELECT wl, (rn - 1) // 512 AS block, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id,
+              {sql_round('sum(v)', 5)} AS total, {sql_round('sum(v * ((rn - 1) % 512))', 5)} AS weighted
+       FROM (SELECT vec_id, rn, CAST(200.0 + 30.0 * (i - 1) AS DOUBLE) AS wl, s[i] AS v
+             FROM (SELECT vec_id, s, row_number() OVER (ORDER BY vec_id) AS rn, unnest(range(1, {POINTS} + 1)) AS i FROM {SQL_SPECTRA}))
+       GROUP BY ALL""",
+)
+def tiles_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spectra turned around: a row per point, in pieces of 512 samples."""
+    turned = tiles.turned(tiles.tiled(spectra(spark, sf_dir), "vec_id", "spectrum", AXIS, 512, 16))
+    pieces = tiles.pieces(turned, "wl", "ids", "v")
+    weighted = F.zip_with("v", F.sequence(F.lit(0), F.size("v") - 1), lambda v, i: v * i)
+    total = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda t, v: t + v), 5)
+    return pieces.select(
+        "wl", "block", F.size("v").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"),
+        F.element_at("ids", -1).alias("last_id"), total("v").alias("total"), total(weighted).alias("weighted"),
+    )
+
+
+@query(
+    "tiles_turned_back",
+    f"SELECT vec_id, CAST(len(s) AS BIGINT) AS points, {sql_round('s[1]', 9)} AS first_value, {sql_round('s[17]', 9)} AS inner_value, {sql_round('s[64]', 9)} AS last_value FROM {SQL_SPECTRA}",
+)
+def tiles_turned_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned around twice and joined to whole spectra again."""
+    layout = tiles.tiled(spectra(spark, sf_dir), "vec_id", "spectrum", AXIS, 512, 16)
+    back = tiles.joined(tiles.turned(tiles.turned(layout)), "vec_id", "s")
+    at = lambda i: rounded(F.element_at("s", i), 9)
+    return back.select("vec_id", F.size("s").cast("long").alias("points"), at(1).alias("first_value"), at(17).alias("inner_value"), at(64).alias("last_value"))
+
+
 @query(
     "ragged_smoothed",
     f"""SELECT vec_id, CASE WHEN label <> 7 THEN {sql_round('list_sum([(s[i - 1] + s[i] + s[i + 1]) / 3 FOR i IN range(2, 64)]) + (2 * s[1] + s[2]) / 3 + (s[63] + 2 * s[64]) / 3')} END AS smoothed_sum,
