@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays
 from ..functions import names as naming
 from ..functions.numeric import rounded
 from ..operators import cleaning, schema, spectral, tiles
 from ..session import scratch_dir
-from ..sources import tables
+from ..sources import ingest, tables
 from .base import (
     AXIS, BATCH_LABELS, POINTS, SQL_SPECTRA, lineitem, query, spectra, sql_long, sql_round, targets, wide_spectra,
 )
@@ -232,6 +233,55 @@ def wide_csv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("vec_id").cast("long").alias("vec_id"), rounded(total, 5).alias("total"), F.size("spectrum").cast("long").alias("points"))
 
 
+@query(
+    "csv_rejected",
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, user_id % 50 <> 0 AND event_type <> 'error' AS clean,
+              CASE WHEN user_id % 50 = 0 THEN '2 fields, expected 3'
+                   WHEN event_type = 'error' THEN 'value: ''sensor fault'' is no number' END AS reason
+       FROM events""",
+)
+def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with broken numbers and short rows: every row is there once, clean or with its reason."""
+    events = tables.read_parquet(spark, sf_dir, "events")
+    value = F.when(F.col("event_type") == "error", "sensor fault").otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(",", F.col("event_id").cast("string"), value, F.when(F.col("user_id") % 50 != 0, F.col("user_id").cast("string")))
+    path = scratch_dir(spark, "dirty-csv")
+    # The first line of every file is its header.
+    events.select(line.alias("event_id,value,user_id")).write.options(header="true", sep=ingest.NO_SEPARATOR, quote="", escape="").csv(path)
+    read = T.StructType.fromDDL("event_id long, value double, user_id long")
+    good, bad = ingest.read_samples_checked(spark, path, read, "event_id")
+    kept = good.select("event_id", "value", F.lit(True).alias("clean"), F.lit(None).cast("string").alias("reason"))
+    # The value of a short row is still in its text.
+    told = F.try_element_at(F.split("line", ","), F.lit(2)).try_cast("double")
+    return kept.unionAll(bad.select("event_id", told.alias("value"), F.lit(False).alias("clean"), "reason"))
+
+
+@query(
+    "requests_rejected",
+    f"""SELECT vec_id AS request_id, CASE label WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 7 THEN NULL ELSE {sql_round('list_sum(s)', 5)} END AS total,
+              CASE label WHEN 1 THEN 'spectral_values[3] is no number' WHEN 2 THEN 'spectral_values is no list'
+                         WHEN 7 THEN 'Spectrum ' || vec_id || ' has 60 values, expected 64' END AS reason
+       FROM {SQL_SPECTRA}""",
+)
+def requests_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with text among the numbers, text instead of them, and too few of them."""
+    values = F.col("spectrum").cast("array<string>")
+    body = (
+        F.when(F.col("label") == 1, F.concat(F.lit("["), F.array_join(F.slice(values, 1, 3), ","), F.lit(',"dark"]')))
+        .when(F.col("label") == 2, F.lit('"none"'))
+        .otherwise(F.concat(F.lit("["), F.array_join(F.when(F.col("label") == 7, F.slice(values, 1, 60)).otherwise(values), ","), F.lit("]")))
+    )
+    line = F.concat(F.lit('{"request_id": '), F.col("vec_id").cast("string"), F.lit(', "spectral_values": '), body, F.lit("}"))
+    path = scratch_dir(spark, "dirty-requests")
+    spectra(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good, bad = ingest.read_requests_checked(spark, path, POINTS)
+    total = rounded(F.aggregate("spectrum", F.lit(0.0), lambda t, v: t + v), 5)
+    # A broken line may hide its number from the schema; its text still has it.
+    number = F.regexp_extract("line", r'"request_id": ?([0-9]+)', 1).cast("long")
+    kept = good.select("request_id", total.alias("total"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionAll(bad.select(F.coalesce("request_id", number).alias("request_id"), F.lit(None).cast("double").alias("total"), "reason"))
+
+
 @query(
     "pad_truncate",
     f"""SELECT vec_id, CAST(100 AS BIGINT) AS n_padded, {sql_round('list_sum(s)')} AS padded_sum,
