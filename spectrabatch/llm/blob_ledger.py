@@ -9,9 +9,10 @@ unchanged history are never scanned twice, and a new rule version scans only for
 itself.
 
 Everything runs as DataFrame expressions. A rule's matches are leftmost and do not
-overlap; ``split`` by the same pattern gives the texts between them, whose lengths
-give the places, in code points, end exclusive. Matches that fail the rule's
-length are dropped without another try.
+overlap; ``split`` by the same pattern gives the texts between them. Only lengths
+leave the text: running sums over one row per match give the places, in code
+points, end exclusive, in time that grows with the text and its matches. Matches
+that fail the rule's length are dropped without another try.
 
 Only carrier rows travel with their text, keyed by blob and path, so a text with
 very many copies moves once. Joins on the blob alone carry small rows and stand on
@@ -30,28 +31,40 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import stored, text_or_empty, with_all_columns
 
 SPAN = "array<struct<kind:string,no:int,start:int,end:int>>"
 LEDGER = f"blob binary, scanned array<string>, findings {SPAN}"
 MASK = "[secret]"
+BLOCK = 1024  # code points of a text that are looked through for one place
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group whose length counts, and the least length that passes."""
+    """A pattern, the group whose length counts, and the least length that passes.
+
+    With ``spent``, the pattern has no group of its own.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     version: int = 1
+    #: What the start of a failed match uses up, where no later start in it can do better.
+    spent: str = ""
 
     @property
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    @property
+    def scanned(self) -> tuple[str, int]:
+        """The pattern to run and its group: a failed start is a match whose group is empty."""
+        return (f"({self.pattern})|{self.spent}", 1) if self.spent else (self.pattern, self.group)
+
 
 def any_case(words: str) -> str:
     """The pattern with both cases of every ASCII letter, the same in every engine."""
@@ -69,7 +82,8 @@ FURTHER = (
     Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # Every further start in a run of letters is nearer to the same dot, so one try a run is enough.
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", spent="eyJ[A-Za-z0-9_-]*"),
 )
 RULES = (*BASE, *FURTHER)
 #: What may stand between a key's first and last line: base64, header fields, written line ends, and hyphens that start neither line.
@@ -83,24 +97,37 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans(rule: Rule, number: int, text: str = "text") -> Column:
-    """The rule's matches in a text column that is not null."""
-    pattern = _quoted(rule.pattern)
+def lengths(rule: Rule, number: int, text: str = "text") -> Column:
+    """Per match of the rule in a text column: the gap before it, its length, and the length that counts; NULL without any."""
+    scanned, group = rule.scanned
+    pattern = _quoted(scanned)
+    counted = f"regexp_extract_all({text}, {pattern}, {group})"
     found = F.expr(
         f"""
-        aggregate(
-          arrays_zip(
-            split({text}, {pattern}, -1),
-            regexp_extract_all({text}, {pattern}, 0),
-            regexp_extract_all({text}, {pattern}, {rule.group})),
-          named_struct('at', 0, 'out', cast(array() as {SPAN})),
-          (a, x) -> named_struct(
-            'at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'out', if(x.`1` is null or length(x.`2`) < {rule.least}, a.out,
-                      concat(a.out, array(named_struct('kind', '{rule.kind}', 'no', {number}, 'start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`)))))),
-          a -> a.out)"""
+        named_struct('no', {number}, 'matches', arrays_zip(
+          transform(split({text}, {pattern}, -1), g -> length(g)),
+          transform(regexp_extract_all({text}, {pattern}, 0), m -> length(m)),
+          transform({counted}, c -> length(c))))"""
     )
-    return F.when(F.expr(f"{text} rlike {pattern}"), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(F.expr(f"{text} rlike {pattern}"), found)
+
+
+def placed(work: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, findings`` of the carriers (``blob, todo, text``) with any: places by running sums over small rows.
+
+    A window holds the matches of one rule in one text.
+    """
+    by_rule = [F.when(F.array_contains("todo", r.name), lengths(r, i)) for i, r in enumerate(rules)]
+    per_rule = work.select("blob", F.explode(F.array_compact(F.array(*by_rule))).alias("r"))
+    matches = per_rule.select("blob", "r.no", F.posexplode("r.matches").alias("i", "m")).select("blob", "no", "i", "m.*").toDF("blob", "no", "i", "gap", "hit", "counted")
+    # The gap after the last match has no match of its own.
+    length = F.col("gap") + F.coalesce("hit", F.lit(0))
+    end = F.sum(length).over(W.partitionBy("blob", "no").orderBy("i")).cast("int")
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("no") + 1)
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("no") + 1)
+    kept = matches.withColumn("end", end).where(F.col("hit").isNotNull() & (F.col("counted") >= least))
+    span = F.struct(kind.alias("kind"), "no", (F.col("end") - F.col("hit")).alias("start"), "end")
+    return kept.groupBy("blob").agg(F.collect_list(span).alias("findings"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -132,10 +159,12 @@ def scan(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...]
     pending = stored(lacking.filter(F.size("todo") > 0).select("blob", "carrier.*", "todo"), "blob-pending")
 
     work = hashed.alias("r").join(pending.alias("p").hint("shuffle_hash"), [F.col("r.blob") == F.col("p.blob"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in path]]).select("p.blob", "p.todo", "r.text")
-    empty = F.expr(f"cast(array() as {SPAN})")
-    by_rule = [F.when(F.array_contains("todo", r.name), spans(r, i)).otherwise(empty) for i, r in enumerate(rules)]
-    fresh = work.select("blob", F.col("todo").alias("scanned"), F.concat(*by_rule).alias("findings"))
-    fresh.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    # Rows alike share blob and path: one of them carries.
+    hits = placed(work.dropDuplicates(["blob"]), rules).select(F.col("blob").alias("_hit"), "findings")
+    fresh = pending.join(hits, F.col("blob") == F.col("_hit"), "left").select(
+        "blob", F.col("todo").alias("scanned"), F.coalesce("findings", F.expr(f"cast(array() as {SPAN})")).alias("findings")
+    )
+    fresh.write.mode("append").parquet(ledger)
 
     names_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.name)])
     entries = spark.read.schema(LEDGER).parquet(ledger)
@@ -169,17 +198,36 @@ def redact(docs: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...
     return with_all_columns(docs, lambda rows: _redacted(rows, path, ledger, rules, mask))
 
 
+def _cuts(found: DataFrame) -> DataFrame:
+    """Per blob the findings that reach beyond all earlier ones, each with the place ``at`` up to which those reach."""
+    each = found.select("blob", F.posexplode("findings").alias("i", "f")).select("blob", "i", "f.start", "f.end")
+    earlier = W.partitionBy("blob").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    ahead = each.withColumn("at", F.coalesce(F.max("end").over(earlier), F.lit(0))).where("end > at")
+    cuts = F.sort_array(F.collect_list(F.struct("at", "start", "end")))
+    return ahead.groupBy(F.col("blob").alias("_blob")).agg(cuts.alias("_findings"), F.max("end").alias("_last"))
+
+
+def _between(start: str, end: str) -> str:
+    """SQL for the text from one place to another, from the blocks that hold it; empty if the places are in the wrong order."""
+    first, last = f"cast({start} div {BLOCK} as int)", f"cast({end} div {BLOCK} as int)"
+    head = f"substring(get(_blocks, {first}), {start} % {BLOCK} + 1)"
+    tail = f"coalesce(substring(get(_blocks, {last}), 1, {end} % {BLOCK}), '')"
+    within = f"coalesce(substring(get(_blocks, {first}), {start} % {BLOCK} + 1, {end} - {start}), '')"
+    between = f"array_join(slice(_blocks, {first} + 2, {last} - {first} - 1), '')"
+    return f"case when {end} <= {start} then '' when {first} = {last} then {within} else concat({head}, {between}, {tail}) end"
+
+
 def _redacted(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...], mask: str) -> DataFrame:
     found = scan(rows, path, ledger, rules)
-    hits = stored(found.filter("findings is not null").select("blob", "findings").dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "blob-redact")
-    joined = rows.withColumn("_key", F.unhex(F.sha2(text_or_empty(), 256))).join(hits.hint("shuffle_hash"), F.col("_key") == F.col("_blob"), "left")
-    masked = F.expr(
-        f"""
-        aggregate(_findings, named_struct('at', 0, 'out', ''),
-          (a, x) -> if(x.end <= a.at, a, named_struct(
-            'at', x.end,
-            'out', concat(a.out, if(x.start < a.at, '', concat(substring(text, a.at + 1, x.start - a.at), '{mask}'))))),
-          a -> concat(a.out, substring(text, a.at + 1)))"""
+    hits = stored(_cuts(found.filter("findings is not null").select("blob", "findings").dropDuplicates(["blob"])), "blob-redact")
+    keyed = rows.withColumn("_key", F.unhex(F.sha2(text_or_empty(), 256)))
+    joined = keyed.join(hits.hint("shuffle_hash"), F.col("_key") == F.col("_blob"), "left")
+    # Places in a string are found from its start; in blocks they cost the same everywhere.
+    blocks = F.when(F.col("_findings").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    joined = joined.withColumn("_blocks", blocks)
+    masked = F.concat(
+        F.expr(f"array_join(transform(_findings, c -> concat({_between('c.at', 'c.start')}, if(c.start < c.at, '', '{mask}'))), '')"),
+        F.expr(_between("_last", "length(text)")),
     )
     clean = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(masked)
     return joined.select(*[clean.alias("text") if c == "text" else F.when(F.col("_findings").isNull(), F.col(c)).otherwise(F.length(masked)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in rows.columns])

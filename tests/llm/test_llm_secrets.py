@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import llm_data
 
@@ -97,3 +98,33 @@ def test_empty_table(spark):
     empty = llm_data.empty(spark)
     assert blob_ledger.scan(empty, ["doc_id"], scratch_dir(spark, "test-ledger")).count() == 0
     assert blob_ledger.redact(empty, ["doc_id"], scratch_dir(spark, "test-ledger")).count() == 0
+
+
+def test_web_tokens_equal_the_plain_pattern(spark):
+    """Runs with many starts, short parts and dots give what a search from every start gives."""
+    rng = random.Random(5)
+    pattern = next(r.pattern for r in blob_ledger.RULES if r.kind == "web_token")
+    part = lambda: "".join(rng.choice(["eyJ", "a", "eyJeyJabcdefgh", "0123456789", "-_", "é"]) for _ in range(rng.randint(0, 5)))
+    texts = ["".join(part() + rng.choice([".", ".", ".", "..", " "]) for _ in range(30)) for _ in range(300)]
+    texts.append(("eyJ" * 4 + ".") * 9)
+    docs = llm_data.documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    found = blob_ledger.scan(docs, ["doc_id"], scratch_dir(spark, "test-ledger")).collect()
+    got = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"] or [] if f["kind"] == "web_token"] for r in found}
+    assert got == {i: [m.span() for m in re.finditer(pattern, t)] for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 50
+
+
+def test_long_texts_take_linear_time(spark):
+    """A megabyte of starts of one kind, of findings, and of findings between wide letters: found and masked."""
+    word = "0123456789abcdef"
+    texts = ["eyJ" * 350_000, f"{word} " * 60_000, f"é😀{word}x" * 40_000, ("b" * 5000 + f" {word}\n") * 100]
+    docs = llm_data.documents(spark, [(i, t, None, None, len(t)) for i, t in enumerate(texts)])
+    began = time.monotonic()
+    found = {r["doc_id"]: r["findings"] or [] for r in blob_ledger.scan(docs, ["doc_id"], scratch_dir(spark, "test-ledger")).collect()}
+    clean = {r["doc_id"]: r for r in blob_ledger.redact(docs, ["doc_id"], scratch_dir(spark, "test-ledger")).collect()}
+    assert time.monotonic() - began < 60
+    assert [len(found[i]) for i in range(4)] == [0, 60_000, 40_000, 200]
+    assert [(f["start"], f["end"]) for f in found[2][:2]] == [(2, 18), (21, 37)]
+    hexes = re.compile("[0-9a-f]{16,}")
+    for i, text in enumerate(texts):
+        assert clean[i]["text"] == hexes.sub("[secret]", text) and clean[i]["n_chars"] == len(clean[i]["text"])
