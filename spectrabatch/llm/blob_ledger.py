@@ -118,8 +118,10 @@ def placed(work: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     A window holds the matches of one rule in one text.
     """
     by_rule = [F.when(F.array_contains("todo", r.name), lengths(r, i)) for i, r in enumerate(rules)]
-    per_rule = work.select("blob", F.explode(F.array_compact(F.array(*by_rule))).alias("r"))
-    matches = per_rule.select("blob", "r.no", F.posexplode("r.matches").alias("i", "m")).select("blob", "no", "i", "m.*").toDF("blob", "no", "i", "gap", "hit", "counted")
+    each = work.select("blob", F.explode(F.array_compact(F.array(*by_rule))).alias("r")).select("blob", "r.*")
+    # Rows alike share blob and path and carry twice; their lengths are dropped here, so no text is shuffled for it.
+    per_rule = each.dropDuplicates(["blob", "no"])
+    matches = per_rule.select("blob", "no", F.posexplode("matches").alias("i", "m")).select("blob", "no", "i", "m.*").toDF("blob", "no", "i", "gap", "hit", "counted")
     # The gap after the last match has no match of its own.
     length = F.col("gap") + F.coalesce("hit", F.lit(0))
     end = F.sum(length).over(W.partitionBy("blob", "no").orderBy("i")).cast("int")
@@ -159,8 +161,7 @@ def scan(rows: DataFrame, path: list[str], ledger: str, rules: tuple[Rule, ...]
     pending = stored(lacking.filter(F.size("todo") > 0).select("blob", "carrier.*", "todo"), "blob-pending")
 
     work = hashed.alias("r").join(pending.alias("p").hint("shuffle_hash"), [F.col("r.blob") == F.col("p.blob"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in path]]).select("p.blob", "p.todo", "r.text")
-    # Rows alike share blob and path: one of them carries.
-    hits = placed(work.dropDuplicates(["blob"]), rules).select(F.col("blob").alias("_hit"), "findings")
+    hits = placed(work, rules).select(F.col("blob").alias("_hit"), "findings")
     fresh = pending.join(hits, F.col("blob") == F.col("_hit"), "left").select(
         "blob", F.col("todo").alias("scanned"), F.coalesce("findings", F.expr(f"cast(array() as {SPAN})")).alias("findings")
     )
